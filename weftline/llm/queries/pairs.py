@@ -1,16 +1,28 @@
-"""Queries of the operators on pairs: near-duplicate documents."""
+"""Queries of the operators on pairs: near-duplicate documents, lines and vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..common import table
+from ..lines import dedup_lines
 from ..minhash import near_duplicates
+from ..vectors import near_vectors
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op6_line_dedup, op9_embedding_near_dedup)}
 SQL: dict[str, str] = {}

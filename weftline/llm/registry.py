@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import pairs
+from .queries import pairs, records, texts
 
-_MODULES = (pairs,)
+_MODULES = (texts, pairs, records)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
