@@ -41,8 +41,8 @@ def near_duplicates(
     2. The classes' band keys make buckets. Classes of a bucket of up to ``small``
        are paired by an equi-join, so none has more than ``small`` partners in it.
        Larger buckets are dealt into blocks of about ``block`` classes, and every
-       pair of blocks is compared in its own group, which returns a spanning forest
-       of its links. So no pair that shares a bucket is left out, yet a large group
+       pair of blocks is compared in its own group, which returns each class with the
+       first one that it is joined with. So no pair that shares a bucket is left out, yet a large group
        yields rows in proportion to its blocks and not to its pairs.
     3. Pairs whose sketches rule out the similarity (below it by 5 standard
        deviations) are left out, the rest are confirmed on full sets.
@@ -179,17 +179,19 @@ def _blocks(posts: DataFrame, block: int) -> DataFrame:
 
 def _linked(percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("c")  # so that the groups of many blocks name the same member
         c = part["c"].to_numpy()
         alone = part["i"].iloc[0] == part["j"].iloc[0]
         sets = [np.frombuffer(x, dtype=np.uint64) for x in part["items"]]
-        a, b = spanning(sets, percent, None if alone else part["side"].to_numpy())
-        return pd.DataFrame({"a": c[a], "b": c[b]}, dtype="int64")
+        first = grouped(sets, percent, None if alone else part["side"].to_numpy())
+        edges = pd.DataFrame({"a": c[first], "b": c}, dtype="int64")
+        return edges[edges["a"] != edges["b"]]
 
     return run
 
 
-def spanning(sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the sets, or of those between the two sides."""
+def grouped(sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> list[int]:
+    """For each set the first one that it is joined with by links among the sets, or by those between the two sides."""
     n, lens = len(sets), np.array([len(s) for s in sets])
     tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owners = np.repeat(np.arange(n), lens)[np.argsort(inverse, kind="stable")]
@@ -202,7 +204,6 @@ def spanning(sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> t
             x = parent[x]
         return x
 
-    a, b = [], []
     for k in range(n):
         own = inverse[ends[k] - lens[k] : ends[k]]
         size = counts[own]
@@ -213,8 +214,6 @@ def spanning(sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> t
         if side is not None:
             linked &= side != side[k]
         for x in np.flatnonzero(linked):
-            if (p := root(k)) != (q := root(x)):
-                parent[q] = p
-                a.append(k)
-                b.append(x)
-    return a, b
+            p, q = root(k), root(x)
+            parent[max(p, q)] = min(p, q)
+    return [root(k) for k in range(n)]
