@@ -123,7 +123,7 @@ def knapsack(values: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), pattern
 
 
-def column_generation(demand: np.ndarray, size: int, gap: float = 5e-4, max_rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+def column_generation(demand: np.ndarray, size: int, gap: float = 5e-4, max_rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, so that class c (1..n) gets exactly ``demand[c - 1]`` slots.
 
     Revised simplex on the cutting-stock linear program, one row per class in use;

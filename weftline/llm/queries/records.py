@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
+from ..tools import link_tool_calls, parse_messages
 from ..urls import filter_urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -22,5 +23,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labelled, RULES)
 
 
-QUERIES = {f.__name__: f for f in (op10_url_filters,)}
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no tool calls, so its turns are written as such: a user's turn calls ``reply``, the assistant's next turn is the result."""
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws("-", F.concat(F.lit("c"), "conv_id"), turn)
+    after = F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array())
+    call = F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct(F.col("turn"), F.col("text").alias("prompt")).alias("arguments"), after.alias("after"))
+    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    told = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    text = F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", told).otherwise(F.col("text"))
+    calls, results = parse_messages(turns.select("conv_id", "turn", text.alias("text")))
+    schemas = spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "turn", "integer", True)], "name string, param string, type string, required boolean")
+    out = link_tool_calls(calls, results, schemas)
+    return out.select(F.col("conv").alias("conv_id"), "call_id", "level", "pos", "status", "errors", "n_calls", "n_results", F.sha2("json", 256).alias("json_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op7_tool_call_linking, op10_url_filters)}
 SQL: dict[str, str] = {}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from .queries import pairs, records, texts
+import corpus_pipeline
 
-_MODULES = (texts, pairs, records)
+from .queries import corpus, pairs, records, texts
 
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+_MODULES = (texts, pairs, records, corpus)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -38,10 +38,11 @@ class UrlRule:
     support: float
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, min_lift: float = 1.1, max_tokens: int = 3) -> list[UrlRule]:
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 1.1, max_tokens: int = 3) -> list[UrlRule]:
     """Association rules {tokens} -> verdict from ``labelled(tokens, verdict)``, the best first.
 
-    FP-growth finds the token sets in at least ``min_support`` of all labelled urls; a
+    FP-growth finds the token sets in at least ``min_support`` of all labelled urls, and
+    in ``min_count`` of them; a
     rule needs ``min_confidence``, ``min_lift`` over its verdict's share, and at most
     ``max_tokens`` tokens. A rule with a rule on fewer of its tokens, for the same
     verdict and as sure, adds nothing and is pruned. A url has few tokens, so there are
@@ -49,7 +50,12 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: f
     doesn't grow with the table. No labelled url: no rules.
     """
     rows = labelled.where("verdict is not null").select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    n = rows.count()
+    if not n:
+        return []
+    # half a url below the count, so that rounding can't lose a set that has it
+    least = min(1.0, max(min_support, (min_count - 0.5) / n))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(rows)
     found = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= max_tokens))
     found = found.where(~F.exists("antecedent", lambda x: x.startswith("="))).where(F.col("lift") >= min_lift)
     rules = [UrlRule(tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"], r["support"]) for r in found.collect()]
