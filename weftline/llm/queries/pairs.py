@@ -9,6 +9,7 @@ from ..common import table
 from ..lines import dedup_lines
 from ..minhash import near_duplicates
 from ..vectors import near_vectors
+from .oracles import OP5, OP9
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +26,4 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op6_line_dedup, op9_embedding_near_dedup)}
-SQL: dict[str, str] = {}
+SQL = {"op5_minhash_near_dedup": OP5, "op9_embedding_near_dedup": OP9}

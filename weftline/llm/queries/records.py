@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..common import table
 from ..tools import link_tool_calls, parse_messages
 from ..urls import filter_urls
+from .oracles import OP7, OP10
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -39,4 +40,4 @@ def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op7_tool_call_linking, op10_url_filters)}
-SQL: dict[str, str] = {}
+SQL = {"op7_tool_call_linking": OP7, "op10_url_filters": OP10}

@@ -9,6 +9,7 @@ from ..common import table
 from ..langid import identify_languages
 from ..licenses import known_licenses, scan_licenses
 from ..quality import quality_rules
+from .oracles import OP3
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +28,4 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scans)}
-SQL: dict[str, str] = {}
+SQL = {"op3_license_scans": OP3}
