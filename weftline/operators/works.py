@@ -33,11 +33,11 @@ def isbn_matches(items: DataFrame, works: DataFrame) -> DataFrame:
     return asked.join(held, "isbn").groupBy("item").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def edition_keys(items: DataFrame, editions: DataFrame) -> DataFrame:
-    """(item, work_key): the key of the first of the item's ISBNs that an edition has; editions(isbn, work_key)."""
+def edition_keys(items: DataFrame, editions: DataFrame, *more: str) -> DataFrame:
+    """(item, work_key, *more): the key of the first of the item's ISBNs that an edition has; editions(isbn, work_key, *more)."""
     asked = items.select("item", F.posexplode("isbn13s").alias("pos", "isbn"))
-    known = editions.where("work_key IS NOT NULL").groupBy("isbn").agg(F.min("work_key").alias("work_key"))
-    return asked.join(known, "isbn").groupBy("item").agg(F.min_by("work_key", "pos").alias("work_key"))
+    known = editions.where("work_key IS NOT NULL").groupBy("isbn").agg(F.min(F.struct("work_key", *more)).alias("e"))
+    return asked.join(known, "isbn").groupBy("item").agg(F.min_by("e", "pos").alias("e")).select("item", "e.*")
 
 
 def title_author_matches(items: DataFrame, works: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def resolve_works(items: DataFrame, works: DataFrame, editions: DataFrame) -> Da
     by_isbn = isbn_matches(items, works).toDF("item", "isbn_low", "isbn_high")
     keys = edition_keys(items, editions)
     held = works.where("work_key IS NOT NULL").groupBy("work_key").agg(F.min("work").alias("key_work"))
-    by_key = keys.join(held, "work_key", "left")
+    by_key = keys.join(held, "work_key", "left").select("item", "work_key", "key_work")
     by_name = title_author_matches(items, works).toDF("item", "name_low", "name_high")
     out = items.select("item").join(by_isbn, "item", "left").join(by_key, "item", "left").join(by_name, "item", "left")
     c = F.col
@@ -164,9 +164,10 @@ def ingest_items(items: DataFrame, works: DataFrame, editions: DataFrame) -> Dat
     alone = alone.select(F.col("item").alias("seq"), F.when(F.col("step") == "new", -1 - F.col("item")).otherwise(F.col("work")).alias("work"), F.when(F.col("ambiguous"), F.concat(F.lit("ambiguous_"), "step")).otherwise(F.col("step")).alias("step"))
 
     many = items.join(size.where("n > 1"), "component", "left_semi")
-    first = edition_keys(many, editions)
-    many = many.join(first, "item", "left")
-    shared = ["component", "isbn13s", "norm_title", "last", "work_key"]
+    first = edition_keys(many, editions, "isbn13s")
+    many = many.join(first.withColumnRenamed("isbn13s", "more"), "item", "left")
+    shared = ["component", "isbn13s", "norm_title", "last", "work_key", "more"]
+    works = works.withColumn("more", F.lit(None).cast("array<string>"))
     rows = many.select(F.col("seq"), F.lit(None).cast("long").alias("work"), *shared).union(
         works.join(many.select("component").distinct(), "component", "left_semi").select(F.lit(None).cast("long").alias("seq"), "work", *shared)
     )
@@ -178,17 +179,20 @@ def _fold(part: pd.DataFrame) -> pd.DataFrame:
     """Resolves one component's items in order."""
     known: dict[int, dict] = {}
     for r in part[part["seq"].isna()].sort_values("work").itertuples():
-        known[int(r.work)] = {"isbns": list(r.isbn13s if r.isbn13s is not None else []), "title": r.norm_title, "last": r.last, "key": r.work_key}
+        known[int(r.work)] = {"isbns": list(r.isbn13s if r.isbn13s is not None else []), "title": r.norm_title, "last": None if pd.isna(r.last) else r.last, "key": None if pd.isna(r.work_key) else r.work_key}
     out = []
     for r in part[part["seq"].notna()].sort_values("seq").itertuples():
         isbns = [x for x in (r.isbn13s if r.isbn13s is not None else []) if x]
         last = None if pd.isna(r.last) else r.last
-        key = None if pd.isna(r.work_key) else r.work_key
         step, hits = "isbn", [w for w, x in known.items() if set(isbns) & set(x["isbns"])]
+        # an edition is only looked up where the ISBNs gave no work with a key
+        keyed = len(hits) > 1 or bool(hits and known[hits[0]]["key"])
+        key = None if keyed or pd.isna(r.work_key) else r.work_key
+        isbns += [x for x in (r.more if key and r.more is not None else []) if x not in isbns]
         if not hits and key:
             step, hits = "work_key", [w for w, x in known.items() if x["key"] == key][:1]
         if not hits and r.norm_title:
-            agree = lambda x: pd.isna(x["last"]) or last is None or x["last"] == last
+            agree = lambda x: x["last"] is None or last is None or x["last"] == last
             step, hits = "title_author", [w for w, x in known.items() if x["title"] == r.norm_title and agree(x)]
         if len(hits) > 1:
             out.append((int(r.seq), None, f"ambiguous_{step}"))
@@ -197,13 +201,12 @@ def _fold(part: pd.DataFrame) -> pd.DataFrame:
             work = hits[0]
             x = known[work]
             x["isbns"] += [i for i in isbns if i not in x["isbns"]]
-            if pd.isna(x["last"]) and last is not None:
-                x["last"] = last
+            x["last"] = x["last"] or last
         else:
             step, work = "new", -1 - int(r.seq)
             x = known[work] = {"isbns": isbns, "title": r.norm_title, "last": last, "key": None}
         # a key is stamped only while no other work holds it
-        if key and (x["key"] is None or pd.isna(x["key"])) and not any(y["key"] == key for y in known.values()):
+        if key and x["key"] is None and not any(y["key"] == key for y in known.values()):
             x["key"] = key
         out.append((int(r.seq), work, step))
     return pd.DataFrame(out, columns=["seq", "work", "step"]).astype({"seq": "int64", "work": "Int64"})

@@ -211,10 +211,10 @@ def resume_after_cursor(spark, d):
  FROM part LEFT JOIN (SELECT * FROM {OFFERS} WHERE region = 'A' AND service_id = '7') ON title_id = p_partkey::VARCHAR GROUP BY 1""")
 def provenance_flags(spark, d):
     titles = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("title_id"))
-    return audit.provenance(titles, _as_watched(offers(spark, d)))
+    return audit.provenance(titles, as_watched(offers(spark, d)))
 
 
-def _as_watched(rows):
+def as_watched(rows):
     """Offers of supplier 7 in region A stand for the audited service and region."""
     own = (F.col("service_id") == "7") & (F.col("region") == "A")
     return rows.withColumns({"service_id": F.when(own, audit.SERVICE).otherwise(F.col("service_id")), "region": F.when(own, audit.REGION).otherwise(F.col("region"))})
@@ -286,7 +286,7 @@ FROM b2 b FULL JOIN f ON b.title_id=f.title_id AND b.service_id='netflix' AND b.
 def discovery_upsert(spark, d):
     base = _base(offers(spark, d))
     own = (F.col("service_id") == "7") & (F.col("region") == "A") & (F.col("type") == "F")
-    base = _as_watched(base.withColumn("type", F.when(own, audit.WATCH).otherwise(F.col("type"))))
+    base = as_watched(base.withColumn("type", F.when(own, audit.WATCH).otherwise(F.col("type"))))
     found = read(spark, d, "part").where("p_size > 20").select(F.col("p_partkey").cast("string").alias("title_id"), F.col("p_partkey").alias("video_id"), F.lit(0).alias("seq"))
     out = audit.discovery_upsert(base, found, ts("2000-01-01 00:00:00"))
     return out.select(*changes.KEYS, "link", "source")
@@ -383,7 +383,7 @@ def ranked_search_resolve(spark, d):
 SELECT CASE WHEN vid IS NULL THEN 'unresolved' WHEN m = 0 THEN 'review' WHEN m::VARCHAR = title_id THEN 'ok' ELSE 'move' END AS class, count(*) AS n
 FROM o LEFT JOIN v ON '/title/' || vid = link GROUP BY 1""")
 def reconcile_classes(spark, d):
-    own = _as_watched(offers(spark, d)).select("title_id", "link", "source", "service_id", "region").distinct()
+    own = as_watched(offers(spark, d)).select("title_id", "link", "source", "service_id", "region").distinct()
     # a video is called after the customer's number, and titles 1 to 49 have those names
     videos = read(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("video_id"), F.concat(F.lit("name "), F.col("o_custkey") % 50).alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
     titles = read(spark, d, "part").where("p_partkey BETWEEN 1 AND 49").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), "p_partkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
@@ -398,7 +398,7 @@ SELECT CASE WHEN title_id IS NULL THEN 'unmatched' WHEN coalesce(feed,false) THE
 def discover_counts(spark, d):
     titles = read(spark, d, "part").where("p_partkey BETWEEN 1 AND 49").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), "p_partkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
     browse = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_id").alias("video_id"), F.concat(F.lit("name "), F.col("user_id") % 60).alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
-    return audit.discover(_as_watched(offers(spark, d)), titles, browse).groupBy("outcome").agg(F.count("*").alias("n"))
+    return audit.discover(as_watched(offers(spark, d)), titles, browse).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH c AS (SELECT p_partkey::VARCHAR title_id, p_partkey % 100 vid FROM part), lv AS (SELECT user_id vid, max((value)::INT % 120) lvl FROM events WHERE event_type = 'click' GROUP BY 1),

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import enrich, reports, works
+from ..operators import audit, enrich, reports, tables, works
 from ..operators.graph import shared_dir
 from ..sources import landed
 from ..streaming import streams
-from .catalog import QUERIES, SQL, query, read
+from .catalog import OFFERS, QUERIES, SQL, as_watched, offers, query, read, ts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -209,3 +209,68 @@ def _stream_dir(d: str, name: str) -> str:
 
 def _scratch(spark) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query()
+def ingest_resolution(spark, d):
+    """Odd parts as items taken in order against the even ones as stored works: names and ISBNs shared by a few parts each.
+
+    Depends on the order of the items, so SQL can't express it; tests hold it against a sequential fold.
+    """
+    p = read(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 500).cast("string")).alias("title"), F.when(F.col("p_partkey") % 4 < 3, F.col("p_brand")).alias("author"),
+        F.array(F.floor(F.col("p_partkey") / 2).cast("string")).alias("isbn13s"),
+    )
+    stored = p.where("id % 2 = 0").select(F.col("id").alias("work"), "title", "author", "isbn13s", F.when(F.col("id") % 6 == 0, F.concat(F.lit("K"), "id")).alias("work_key"))
+    editions = p.where("id % 5 = 0").select(F.get("isbn13s", F.lit(0)).alias("isbn"), F.concat(F.lit("K"), F.col("id") + 1).alias("work_key"), "isbn13s")
+    return works.ingest_items(p.where("id % 2 = 1").withColumnRenamed("id", "seq"), stored, editions)
+
+
+@query("""WITH t AS (SELECT p_partkey::VARCHAR title_id, p_size > 25 surfaced, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE TIMESTAMP '1996-01-01' END checked_at FROM part),
+ live AS (SELECT DISTINCT l_partkey::VARCHAR title_id FROM lineitem WHERE l_suppkey = 7 AND l_returnflag = 'A' AND l_shipdate > TIMESTAMP '1995-06-17')
+SELECT title_id, CASE WHEN checked_at IS NOT NULL AND title_id NOT IN (SELECT title_id FROM live) THEN NULL ELSE surfaced END AS surfaced,
+ CASE WHEN title_id NOT IN (SELECT title_id FROM live) THEN NULL ELSE checked_at END AS checked_at FROM t""")
+def orphan_reset(spark, d):
+    titles = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("title_id"), (F.col("p_size") > 25).alias("surfaced"), F.when(F.col("p_partkey") % 3 != 0, ts("1996-01-01 00:00:00")).alias("checked_at"))
+    own = as_watched(offers(spark, d)).withColumn("available_from", F.lit(None).cast("timestamp_ntz"))
+    return audit.reset_orphans(titles, own, ts("1995-06-17 00:00:00"))
+
+
+@query(f"""WITH cls AS (SELECT p_partkey::VARCHAR title_id, CASE p_partkey % 3 WHEN 0 THEN false WHEN 1 THEN true END c FROM part WHERE p_partkey % 5 <> 0)
+SELECT title_id, count(*) AS n FROM {OFFERS} o WHERE NOT (region = 'A' AND service_id = '7' AND source = 'discovery' AND title_id IN (SELECT title_id FROM cls WHERE c = false)) GROUP BY 1""")
+def write_back_offers(spark, d):
+    p = read(spark, d, "part")
+    titles = p.select(F.col("p_partkey").cast("string").alias("title_id"), F.lit(True).alias("surfaced"), F.lit(None).cast("timestamp_ntz").alias("checked_at"))
+    verdict = F.when(F.col("p_partkey") % 3 == 0, False).when(F.col("p_partkey") % 3 == 1, True)
+    classes = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("title_id"), verdict.alias("surfaced"))
+    left = audit.write_back(titles, as_watched(offers(spark, d)), classes, ts("1995-06-17 00:00:00"))[1]
+    return left.groupBy("title_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT to_json({'ids': (SELECT list_sort(list(DISTINCT l_partkey)) FROM lineitem WHERE l_suppkey = 7), 'surfaced': (SELECT list_sort(list(DISTINCT p_partkey)) FROM part WHERE p_size > 48)})::VARCHAR AS document""")
+def availability_export(spark, d):
+    ids = read(spark, d, "lineitem").where("l_suppkey = 7").select(F.col("l_partkey").alias("id"))
+    surfaced = read(spark, d, "part").where("p_size > 48").select(F.col("p_partkey").alias("id"))
+    return tables.availability_document(ids, surfaced, "id")
+
+
+@query("""WITH w AS (SELECT c_custkey work, CASE WHEN c_custkey % 4 = 0 THEN 'K' || (c_custkey % 50) END k FROM customer), h AS (SELECT k, min(work) holder FROM w WHERE k IS NOT NULL GROUP BY 1),
+ c AS (SELECT o_custkey work, 'K' || (min(o_orderkey) % 50) k FROM orders GROUP BY 1), f AS (SELECT k, min(work) winner FROM c GROUP BY 1)
+SELECT work, k AS work_key, (holder IS NULL AND work = winner) OR coalesce(holder = work, false) AS accepted FROM c JOIN f USING (k) LEFT JOIN h USING (k)""")
+def unique_stamp(spark, d):
+    key = lambda c: F.concat(F.lit("K"), c % 50)
+    held = read(spark, d, "customer").select(F.col("c_custkey").alias("work"), F.when(F.col("c_custkey") % 4 == 0, key(F.col("c_custkey"))).alias("work_key"))
+    wanted = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("work")).agg(key(F.min("o_orderkey")).alias("work_key")).withColumn("seq", F.col("work"))
+    return works.stamp_unique(wanted, held)
+
+
+@query("""WITH x AS (SELECT c_custkey work, c_name title FROM customer), b AS (SELECT o_custkey work, arg_min(o_orderpriority, (o_orderkey, o_orderpriority)) v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+SELECT work, v AS volume FROM b JOIN x USING (work)""")
+def volume_lookup(spark, d):
+    o = read(spark, d, "orders").where("o_orderkey % 3 = 0")
+    order = o.groupBy(F.col("o_custkey").alias("work")).agg(F.min("o_orderkey").cast("string").alias("first"))
+    own = read(spark, d, "customer").select(F.col("c_custkey").alias("work"), F.col("c_name").alias("title")).join(order, "work", "left")
+    own = own.select("work", "title", F.array(F.lit("none"), "first").alias("isbn13s"))
+    volumes = o.select(F.col("o_orderkey").cast("string").alias("isbn"), F.col("o_orderpriority").alias("volume"))
+    found = own.select("work", F.lit(1).alias("rank"), F.lit("other").alias("volume"), F.lit("another name").alias("title"))
+    return enrich.lookup_volumes(own, volumes, found)
