@@ -1,64 +1,15 @@
-"""What the operators share: tables written in the cluster's checkpoint folder, and connected components."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-WORD = r"[^\x20\x09-\x0D]+"
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's checkpoint folder, or a new local one where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
+from ..operators.graph import components, saved, shared_dir
 
+__all__ = ["WORD", "components", "saved", "shared_dir", "table"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """The frame written once to the shared folder and read back: cuts lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges(a, b)`` of long ids, as (id, component) with the smallest id of each.
-
-    Alternates large-star and small-star steps, which keep connectivity and turn each
-    component into a star round its smallest id in a logarithmic number of rounds. An
-    id's neighbours are never gathered: a step takes a minimum per id (pre-aggregated)
-    and joins it back, so a hub only makes a long join side, which adaptive execution
-    splits. Each round is checkpointed. Edges with a null end and loops are ignored.
-    """
-    shared_dir(edges.sparkSession)
-    current = (
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    )
-    mark = None
-    for _ in range(max_rounds):
-        both = current.select("u", "v").union(current.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        current = small.distinct().checkpoint()
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not converge")
-    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
