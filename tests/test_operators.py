@@ -304,3 +304,32 @@ def test_reports(spark):
     assert rows(health, "job", "verdict") == [("none", "fail"), ("old", "fail"), ("rare", "warn"), ("sync", "warn"), ("verify", "warn")]
     assert reports.overall(health).first()[0] == "fail" and reports.overall(health.limit(0)).first()[0] == "ok"
     assert tuple(reports.coverage(spark.range(0), F.col("id")).first()) == (0, 0, 0.0, 0, None)
+
+
+def test_fills(spark):
+    now = F.lit(dt.datetime(2024, 5, 1))
+    offers = spark.createDataFrame([offer("a", source="motn"), offer("b")], changes.OFFER_TYPE)
+    titles = spark.createDataFrame([("a", "Alpha", "movie", None), ("b", "Beta", "movie", None), ("c", "Gamma", "movie", None)], TITLES)
+    browse = spark.createDataFrame([(1, 11, "alpha", "movie", None), (2, 12, "beta", "movie", None), (3, 13, "gamma", "movie", None), (4, 14, "Gamma", "movie", None), (5, 15, "zz", "movie", None)], "seq int, video_id long, title string, type string, year int")
+    assert rows(audit.discover(offers, titles, browse), "seq", "outcome") == [(1, "skipped"), (2, "restamped"), (3, "created"), (4, "restamped"), (5, "unmatched")]
+    filled = audit.discovery_fill(offers, titles, browse, now)
+    assert {r["title_id"]: r["link"].split("/")[-1] for r in filled.collect()} == {"a": "1", "b": "12", "c": "14"}
+    live = spark.createDataFrame([("b", "Beta", "movie", 1, None), ("d", "Delta", "tv", 2, None), ("e", "Eps", "tv", 0, None), ("f", "Phi", "movie", 3, dt.datetime(2024, 1, 1)), ("g", "Eta", "tv", 4, None)], "title_id string, title string, tmdb_type string, tmdb_id int, deleted_at timestamp")
+    on = spark.createDataFrame([("b",), ("d",), ("e",), ("f",)], "title_id string")
+    results = spark.createDataFrame([(t, 1, k, n, y) for k, (t, n, y) in enumerate([("b", "Beta", "movie"), ("d", "Delta", "movie"), ("d", "Delta!", "series"), ("e", "Eps", "series"), ("f", "Phi", "movie"), ("g", "Eta", "series")])], "query_id string, rank int, video_id long, title string, type string")
+    assert {r["title_id"] for r in audit.backstop_fill(offers, live, on, results, now).collect()} == {"a", "b", "d"}
+
+
+def test_status_reports(spark):
+    at = dt.datetime(2024, 5, 2)
+    log = spark.createDataFrame([(1, "sync", "completed", at, at, 7, "{}"), (2, "sync", "running", at, None, 5, '{"exhausted":false}'), (3, "sync", "completed", dt.datetime(2024, 4, 1), at, 9, None)], "id int, sync_type string, status string, started_at timestamp, completed_at timestamp, api_calls_used long, metadata string")
+    titles = spark.createDataFrame([("a", None), ("b", at)], "title_id string, deleted_at timestamp")
+    offers = spark.createDataFrame([offer("a"), offer("a", quality="hd")], changes.OFFER_TYPE)
+    services = spark.createDataFrame([("netflix", "N")], "service_id string, name string")
+    got = reports.streaming_status(log, titles, offers, services, "US", F.lit(dt.datetime(2024, 5, 9)))
+    assert got["calls"].first()[0] == 12 and got["running"].count() == 1 and rows(got["services"]) == [("N", 1)]
+    assert rows(got["sizes"]) == [("offers", 2), ("services", 1), ("titles", 1)] and got["recent"].count() == 3
+    books = reports.book_status(log, spark.range(4), spark.createDataFrame([("s", "k")], "list_source string, list_key string"), F.nullif("id", F.lit(0)), 2)
+    assert tuple(books["coverage"].first()) == (4, 3, 75.0, 1, 1) and rows(books["recent"], "id", "exhausted") == [(1, True), (2, False), (3, True)]
+    todo = enrich.pending(spark.createDataFrame([(2, None), (1, None), (3, 5)], "id int, at int"), "at", "id", also=F.col("id") > 1)
+    assert [r["id"] for r in todo.collect()] == [2]

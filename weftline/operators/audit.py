@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import classified, playable, stale_or_never, tracked_title, video_id
 from .changes import FEED, FOUND, KEYS
-from .match import match_titles
+from .match import match_titles, resolve_ranked
 from .tables import last_per_key, join_null_safe
 
 SERVICE, REGION, WATCH = "netflix", "US", "subscription"
@@ -131,3 +131,24 @@ def tracked_ids(titles: DataFrame, offers: DataFrame, which: Column) -> DataFram
     """Distinct outside ids of live titles with an accepted offer, sorted."""
     own = titles.where(tracked_title()).join(offers.where(which), "title_id", "left_semi")
     return own.select("imdb_id").distinct().orderBy("imdb_id")
+
+
+def discovery_fill(offers: DataFrame, titles: DataFrame, browse: DataFrame, now: Column) -> DataFrame:
+    """Offers with every browse row that resolves to a title the feed doesn't own; strictly additive."""
+    outcomes = discover(offers, titles, browse).where(F.col("outcome").isin("created", "restamped"))
+    found = outcomes.join(browse.select("seq", "video_id"), "seq").select("title_id", "video_id", "seq")
+    return discovery_upsert(offers, found, now)
+
+
+def backstop_fill(offers: DataFrame, titles: DataFrame, on_service: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Offers for live titles that an outside provider check finds on the service though no offer says so.
+
+    ``titles(title_id, title, tmdb_type, tmdb_id, deleted_at)``, ``on_service(title_id)``;
+    ``results(query_id, rank, video_id, title, type)`` are the ranked search results of a
+    title, whose type is series for tv and movie otherwise.
+    """
+    live = titles.where(F.col("deleted_at").isNull() & (F.col("tmdb_id") > 0))
+    missing = without_offer(live, offers).join(on_service, "title_id", "left_semi")
+    kind = F.when(F.col("tmdb_type") == "tv", "series").otherwise("movie")
+    found = resolve_ranked(missing.select(F.col("title_id").alias("query_id"), "title", kind.alias("type")), results)
+    return discovery_upsert(offers, found.select(F.col("query_id").alias("title_id"), "video_id", F.lit(0).alias("seq")), now)

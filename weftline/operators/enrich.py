@@ -98,3 +98,9 @@ def chain_walk(pages: DataFrame, keys: list[str], date: str, previous: str, most
     rows = rows.withColumn("_gap", (F.col("_n") > 1) & ~F.coalesce(broken == F.col(date), F.lit(False)))
     rows = rows.withColumn("_gaps", F.expr(f"sum(cast(_gap AS int)) OVER (PARTITION BY {own} ORDER BY {date} DESC)"))
     return rows.where((F.col("_n") <= most) & (F.col("_gaps") == 0)).drop("_n", "_gap", "_gaps")
+
+
+def pending(rows: DataFrame, stamp: str, order: str, force: bool = False, also: Column | None = None) -> DataFrame:
+    """Rows not stamped yet (all with ``force``) that meet a further condition, in the order of an id."""
+    todo = F.lit(True) if force else F.col(stamp).isNull()
+    return rows.where(todo if also is None else todo & also).orderBy(order)

@@ -99,3 +99,29 @@ def job_summary(health: DataFrame, log: DataFrame) -> DataFrame:
     rows = health.join(latest, health["job"] == latest["sync_type"], "left")
     text = F.concat_ws(", ", F.concat_ws(": ", "job", "verdict"), F.concat(F.col("minutes").cast("string"), F.lit(" min")), F.concat(F.col("titles_processed").cast("string"), F.lit(" processed")))
     return rows.select("job", text.alias("summary"))
+
+
+def streaming_status(log: DataFrame, titles: DataFrame, offers: DataFrame, services: DataFrame, region: str, now: Column, recent: int = 5) -> dict[str, DataFrame]:
+    """The frames of the streaming status report: last sync, running jobs, calls this month, table sizes, services, recent runs."""
+    done = log.where("status = 'completed'")
+    sizes = titles.where("deleted_at IS NULL").agg(F.count("*").alias("n")).select(F.lit("titles").alias("name"), "n")
+    for name, df in (("offers", offers), ("services", services)):
+        sizes = sizes.union(df.agg(F.count("*").alias("n")).select(F.lit(name), "n"))
+    return {
+        "last_sync": done.agg(F.max("completed_at").alias("last_sync")),
+        "running": log.where("status = 'running'").select("id", "sync_type", "started_at"),
+        "calls": month_to_date(log, "started_at", "api_calls_used", now),
+        "sizes": sizes,
+        "services": services_report(offers, services, region),
+        "recent": log.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(recent),
+    }
+
+
+def book_status(log: DataFrame, works: DataFrame, memberships: DataFrame, value: Column, last_run: int | None, recent: int = 5) -> dict[str, DataFrame]:
+    """The frames of the book status report: coverage, members per list, recent runs and whether they ran to their end."""
+    ended = F.coalesce(F.get_json_object("metadata", "$.exhausted") != "false", F.lit(True))
+    return {
+        "coverage": coverage(works, value, last_run),
+        "lists": memberships.groupBy("list_source", "list_key").agg(F.count("*").alias("n")),
+        "recent": log.orderBy(F.col("id").desc()).limit(recent).withColumn("exhausted", ended),
+    }
