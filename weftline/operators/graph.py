@@ -34,9 +34,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     splits. Each round is checkpointed. Edges with a null end and loops are ignored.
     """
     shared_dir(edges.sparkSession)
-    current = (
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    )
+    current = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    if current.isEmpty():
+        return current.toDF("id", "component")
     mark = None
     for _ in range(max_rounds):
         both = current.select("u", "v").union(current.select(F.col("v"), F.col("u")))
