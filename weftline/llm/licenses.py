@@ -89,15 +89,14 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical text; null where nothing is left of it."""
-    clean = canonical(text)
-    return F.when(clean != "", F.sha2(clean, 256))
+    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
 def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(license_id, kind, digest), one row for each digest and kind; of equal digests the first id in order counts."""
+    """(license_id, kind, digest, size), one row for each digest and kind; of equal digests the first id in order counts."""
     rows = spark.createDataFrame(list(known), "license_id string, kind string, text string")
-    rows = rows.select("license_id", "kind", digest(F.col("text")).alias("digest")).where("digest is not null")
-    return rows.groupBy("digest", "kind").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select("license_id", "kind", digest(F.col("text")).alias("digest"), F.length(canonical(F.col("text"))).alias("size")).where("digest is not null")
+    return rows.groupBy("digest", "kind").agg(F.min("license_id").alias("license_id"), F.max("size").alias("size"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
@@ -120,7 +119,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     out = own.select("id", key, digest(F.col("text")).alias("digest")).join(whole, "digest", "left")
 
     notices = hint(known.where("kind = 'notice'").select(F.col("digest").alias("line_digest"), F.col("license_id").alias("notice_id")))
-    lines = own.select(key, F.explode(F.split("text", "\n")).alias("line")).select("key", digest(F.col("line")).alias("line_digest"))
+    # spellings change a text's length by far less than a half, so longer lines are no notice
+    longest = known.where("kind = 'notice'").agg(F.max("size")).first()[0] or 0
+    lines = own.select(key, F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.length(F.regexp_replace("line", PUNCTUATION, " ")) <= 2 * longest + 16).select("key", digest(F.col("line")).alias("line_digest"))
     # copies of a text find the same notices: found once more for each copy, so counted per copy
     found = lines.join(notices, "line_digest").groupBy("key", "notice_id").agg(F.count("*").alias("n"))
     copies = own.where("text is not null").groupBy(key).agg(F.count("*").alias("copies"))
