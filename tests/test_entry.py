@@ -33,5 +33,5 @@ def test_queries_equal_their_oracle(spark, name):
     columns = sorted(got.columns)
     clean = lambda v: round(v, 4) if isinstance(v, float) else v
     mine = sorted((tuple(clean(v) for v in r) for r in got.select(*columns).collect()), key=str)
-    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({library.SQL[name]})").fetchall()
+    theirs = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({library.SQL[name]})").fetchall()
     assert mine == sorted((tuple(clean(v) for v in r) for r in theirs), key=str)

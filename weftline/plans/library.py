@@ -46,10 +46,10 @@ def name_squash(spark, d):
     return read(spark, d, "documents").select("doc_id", X.squash(F.substring_index("text", "\n", 1)).alias("squashed"))
 
 
-@query("SELECT event_id, strftime(least(to_timestamp(least(event_id * 200000000, 253402300799)) AT TIME ZONE 'UTC', TIMESTAMP '9999-12-31 23:59:59'), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+@query("SELECT event_id, strftime(least(to_timestamp(least(event_id * 200000000, 253402300799)) AT TIME ZONE 'UTC', TIMESTAMP '9999-12-31 23:59:59'), '%Y-%m-%d %H:%M:%S') AS clamped FROM events")
 def timestamp_clamp(spark, d):
     at = X.clamp_epoch(F.col("event_id") * 200000000)
-    return read(spark, d, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return read(spark, d, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("clamped"))
 
 
 @query("""WITH i AS (SELECT DISTINCT l_orderkey item, l_suppkey k FROM lineitem WHERE l_orderkey % 3 = 0), w AS (SELECT DISTINCT l_partkey work, l_suppkey k FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 = 0)
