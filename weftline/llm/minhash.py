@@ -16,7 +16,7 @@ from .shingles import band_keys, shingle_set, sketches
 #: Coordinates of a sketch and rows of a band: at similarity 0.8 a pair shares none of the 32 bands with probability 5e-8.
 SIZE, ROWS = 128, 4
 #: Buckets up to this many classes are paired by a join; larger ones are compared block by block.
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 1024
 
 
 def near_duplicates(
