@@ -141,6 +141,29 @@ def test_fuzzy_lines_of_a_large_group(spark):
     assert dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), max_broadcast=0).where("lines.n_kept = 1").count() == kept
 
 
+@pytest.mark.parametrize("words", [10, 20, 50])
+def test_fuzzy_lines_recall(spark, words):
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((2, 3, 4, 6, 8, 10))))
+    common = [word() for _ in range(30)]
+    rows, near = [], {}
+    for k in range(120):
+        base = [rng.choice(common) if rng.random() < 0.3 else word() for _ in range(words)]
+        own = list(base)
+        for at in rng.sample(range(words), rng.randint(1, words // 5)):
+            own[at] = word()
+        if k % 3 == 2:  # wrong letters instead
+            own = [w[:-1] + "q" if rng.random() < 0.1 else w for w in base]
+        near[1000 + k] = own != base and similar(" ".join(base), " ".join(own))
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(own))]
+    out = dedup_lines(spark.createDataFrame([*rows], "doc_id long, text string"))
+    gone = {r["doc_id"] for r in out.where("lines.n_kept = 0").select("doc_id").collect()}
+    want = {k for k, v in near.items() if v}
+    same = {i for i, t in rows if i >= 1000 and t == dict(rows)[i - 1000]}
+    assert gone <= want | same and same <= gone
+    assert len(want) > 80 and len(gone & want) >= 0.93 * len(want)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 32))
