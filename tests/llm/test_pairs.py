@@ -185,3 +185,19 @@ def test_vectors_against_brute_force(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(300, 307))
     assert near_vectors(df.limit(0)).count() == 0
     assert near_vectors(df.where("vec_id >= 300")).where("n_links > 0").count() == 0
+
+
+def test_vectors_of_a_large_dense_group(spark):
+    rng = np.random.default_rng(8)
+    n, dim = 10_000, 64
+    x = rng.normal(size=(n, dim))
+    x[: n // 3] = x[0] + rng.normal(size=(n // 3, dim)) * 0.1
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = u @ u.T >= 0.98
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in near_vectors(df).collect()}
+    found = sum(r["n_links"] for r in got.values())
+    assert 0.9 * close.sum() <= found <= close.sum()
+    want = closure(range(n), [(int(np.flatnonzero(close[k])[0]), k) for k in range(n) if close[k].any()])
+    assert all(got[k]["component_id"] == want[k] for k in range(n))

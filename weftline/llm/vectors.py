@@ -24,15 +24,24 @@ def unit(values) -> np.ndarray | None:
     return None if top == 0 else (x := x / top) / math.sqrt(float(x @ x))
 
 
-def choose_pivots(vectors: DataFrame, n_pivots: int) -> np.ndarray:
-    """Up to ``n_pivots`` distinct valid vectors, those with the smallest hashes of their contents."""
+def choose_pivots(vectors: DataFrame, n_pivots: int, threshold: float) -> np.ndarray:
+    """Up to ``n_pivots`` spread-out valid vectors of those with the smallest hashes of their contents.
+
+    Any two are more than three times the angle of the threshold apart. So a dense group,
+    however large, gets few of them, and its members are described alike by the others.
+    """
     own = vectors.select("embedding").where("embedding IS NOT NULL").select("embedding", F.xxhash64("embedding").alias("h")).distinct()
     rows = [unit(r["embedding"]) for r in own.orderBy("h").limit(2 * n_pivots).collect()]
     rows = [x for x in rows if x is not None]
     if not rows:
         return np.empty((0, 0))
     width = max(map(len, rows), key=[len(x) for x in rows].count)
-    return np.array([x for x in rows if len(x) == width][:n_pivots])
+    apart = math.cos(min(3 * math.acos(max(-1.0, min(1.0, threshold))), math.pi / 2))
+    pivots, n = np.empty((n_pivots, width)), 0
+    for x in rows:
+        if n < n_pivots and len(x) == width and (pivots[:n] @ x <= apart).all():
+            pivots[n], n = x, n + 1
+    return pivots[:n]
 
 
 def describe(pivots: np.ndarray, nearest: int):
@@ -107,9 +116,9 @@ def near_vectors(
 
     Vectors of one non-null label are linked when their cosine in double precision is
     at least ``threshold``. Each vector is described by its ``nearest`` reference
-    points in order; reference points are a bounded sample of the vectors themselves
-    (``n_pivots``, by default twice the square root of the row count between 64 and
-    4096). Vectors meet in the inverted list of every reference point near them and
+    points in order; reference points are a bounded sample of the vectors themselves,
+    without those near another (up to ``n_pivots``, by default twice the square root of
+    the row count between 64 and 4096). Vectors meet in the inverted list of every reference point near them and
     are compared if they share at least ``least_shared``; every vector is indexed and
     no list is cut: a long one is dealt into blocks of about ``block`` vectors, and
     each pair of blocks is one task's work, which returns counts and a spanning forest
@@ -126,7 +135,7 @@ def near_vectors(
     own = saved(own.withColumn("row", F.monotonically_increasing_id()))
     if n_pivots is None:
         n_pivots = min(4096, max(64, round(2 * math.sqrt(own.count()))))
-    pivots = choose_pivots(own, n_pivots)
+    pivots = choose_pivots(own, n_pivots, threshold)
     index = own.where("label IS NOT NULL").mapInPandas(describe(pivots, nearest), "row long, label string, unit binary, pivots array<int>")
     index = saved(index.where("pivots IS NOT NULL"))
 
