@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,45 +64,81 @@ def rates(p: np.ndarray, steps: list[np.ndarray], most: float | None) -> tuple[n
     return rate, point
 
 
-def fit_steps(weighted: DataFrame, targets: np.ndarray, most: float | None, max_steps: int = 60, tolerance: float = 1e-4) -> list[np.ndarray]:
-    """Projected gradient steps that bring the expected domain totals of ``weighted(tokens, p)`` to the targets.
+def fit(weighted: DataFrame, share: np.ndarray, total: float, most: float | None, shrink: bool, max_steps: int, tolerance: float) -> tuple[np.ndarray, float, bool]:
+    """(step, total, met): the gradient step from rates of 1 that brings the domain totals of ``weighted(tokens, p)`` to share * total.
 
-    Minimises the squared difference of sum(rate * tokens * p) and targets over rates in
-    [0, most], with steps scaled by the documents' tokens, so that long and short
-    documents of a kind change alike. Each iteration is one pass that returns a
-    number per domain and partition.
+    Minimises the squared difference of sum(rate * tokens * p) and the targets over rates
+    in [0, most], and among the solutions takes the one nearest to rates of 1 (weighted
+    by tokens). That one is clip(1 - p @ step), so the search is for one number per
+    domain: damped Newton steps on the convex dual, several dampings tried in a pass. It ends when the targets are met within the tolerance or nothing
+    improves. With ``shrink`` a total out of reach is lowered to the bound that the best
+    step proves, until it is in reach.
     """
-    n = len(targets)
+    n, soft, lowered = len(share), 1e-7, 2 * tolerance
+
+    def passes(tries: np.ndarray) -> np.ndarray:
+        """For each try: dual value, domain totals, their slopes, and the most that the rates could add up to in its direction."""
 
-    def pass_over(f, width: int) -> np.ndarray:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(width)
+            out = np.zeros((len(tries), 2 + n + n * n))
             for part in parts:
                 if len(part):
-                    total += f(np.array(part["p"].tolist(), dtype=float), part["tokens"].to_numpy(dtype=float))
-            yield pd.DataFrame({"k": np.arange(width), "x": total})
+                    p, t = np.array(part["p"].tolist(), dtype=float), part["tokens"].to_numpy(dtype=float)
+                    for k, step in enumerate(tries):
+                        v = p @ step
+                        rate = np.clip(1 - v, 0.0, most)
+                        free = t * ((v <= 1) & (1 - v <= (np.inf if most is None else most)))
+                        out[k, 0] += t @ ((rate - 1) ** 2 / 2 + rate * v)
+                        out[k, 1] += t @ np.maximum(-v, 0) * (most or 0)
+                        out[k, 2 : 2 + n] += (rate * t) @ p
+                        out[k, 2 + n :] += (p.T @ (p * free[:, None])).ravel()
+            yield pd.DataFrame({"k": np.arange(out.size), "x": out.ravel()})
 
         found = weighted.select("tokens", "p").mapInPandas(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(width)
+        flat = np.zeros(len(tries) * (2 + n + n * n))
         for r in found:
-            out[r["k"]] = r["x"]
-        return out
-
-    second = pass_over(lambda p, t: (p * t[:, None]).T.dot(p).ravel(), n * n).reshape(n, n)
-    steepest = float(np.linalg.eigvalsh(second).max()) if second.any() else 0.0
-    steps: list[np.ndarray] = []
-    while steepest > 0 and len(steps) < max_steps:
-        history = list(steps)
+            flat[r["k"]] = r["x"]
+        return flat.reshape(len(tries), -1)
+
+    step = np.zeros(n)
+    state = passes(step[None])[0]
+    scale = state[2 : 2 + n].sum()
+    for _ in range(max_steps if scale > 0 else 0):
+        targets = share * total
+        if np.abs(state[2 : 2 + n] - targets).max() <= tolerance * targets.sum():
+            break
+        loss = lambda x, s: (x @ targets - s[..., 0]) / scale + soft / 2 * (x * x).sum(axis=-1)
+        slope = (targets - state[2 : 2 + n]) / scale + soft * step
+        # from Newton's step to a plain gradient step that is short enough to improve always
+        damped = state[2 + n :].reshape(n, n) / scale + soft * np.eye(n) * 10.0 ** np.arange(8)[:, None, None]
+        tries = step - np.linalg.solve(damped, np.broadcast_to(slope[:, None], (8, n, 1)))[:, :, 0]
+        states = passes(tries)
+        losses = loss(tries, states)
+        k = int(np.argmin(losses))
+        old = float(loss(step, state))
+        stuck = not losses[k] < old - 1e-12 * max(1.0, abs(old))
+        if not stuck:
+            step, state = tries[k], states[k]
+        if shrink and most is not None and -(share @ step) > 0:
+            # no rates up to most reach a larger total in this direction
+            bound = state[1] / -(share @ step)
+            if bound < total * (1 - tolerance / 10):
+                total, stuck = bound, False
+        if stuck and shrink and 0 < lowered < 0.1:
+            # the bound is reached in the limit only: a little less than it
+            total, lowered, stuck = total * (1 - lowered), 2 * lowered, False
+        if stuck:
+            break
+    met = scale == 0 or bool(np.abs(state[2 : 2 + n] - share * total).max() <= tolerance * share.sum() * total)
+    return step, total, met
 
-        def totals(p: np.ndarray, t: np.ndarray, history=history) -> np.ndarray:
-            rate, point = rates(p, history, most)
-            return np.concatenate(((rate * t) @ p, (point * t) @ p))
 
-        both = pass_over(totals, 2 * n)
-        if np.abs(both[:n] - targets).max() <= tolerance * targets.sum():
-            break
-        steps.append((both[n:] - targets) / steepest)
-    return steps
+def fit_steps(weighted: DataFrame, targets: np.ndarray, most: float | None, max_steps: int = 1000, tolerance: float = 1e-4) -> list[np.ndarray]:
+    """The steps for ``rates`` that bring the expected domain totals of ``weighted(tokens, p)`` to the targets; warns if they can't."""
+    step, _, met = fit(weighted, np.asarray(targets, dtype=float), 1.0, most, False, max_steps, tolerance)
+    if not met:
+        warnings.warn("mixing targets can't be met by any rates; took the nearest", stacklevel=2)
+    return [step]
 
 
 def mix(
@@ -118,8 +155,9 @@ def mix(
     A classifier learned from ``labelled(id, domain)`` predicts how far each document
     belongs to each domain. Rates in [0, ``most``] make the expected tokens of domain j,
     sum(rate * tokens * p_j), its share of the total: all tokens of the input
-    ("natural"), the largest total that needs no rate above 1 ("no repeats"), or a
-    number. ``copies`` rounds a rate to whole copies by a hash of the document.
+    ("natural"), the largest total that needs no rate above 1 ("no repeats"; with
+    ``most`` lowered until it is in reach, by up to a fifth below the bound), or a number. Where
+    no rates meet the targets the nearest are taken, with a warning. ``copies`` rounds a rate to whole copies by a hash of the document.
 
     Null and empty texts have 0 tokens and don't bear on the totals. Rows that repeat
     an id have posteriors of their own text. Without two labelled domains all
@@ -140,6 +178,10 @@ def mix(
         total = natural.sum()
     elif total == "no repeats":
         total = min((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
+        if most is not None and total > 0:
+            _, reached, met = fit(known, share, float(total), most, True, 1000, 1e-4)
+            # no total at all may be in reach; then the nearest totals are taken, with a warning
+            total = reached if met and reached > 1e-3 * total else total
     steps = fit_steps(known, share * total, most)
 
     def rated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
