@@ -1,4 +1,4 @@
-"""Connected components by joins, and tables written to the shared checkpoint folder."""
+"""Intermediate tables in the shared folder, and connected components by joins."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's checkpoint folder, or a new local one where none is set."""
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``; only a local session may go without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -31,10 +34,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component into a star round its smallest id in a logarithmic number of rounds. An
     id's neighbours are never gathered: a step takes a minimum per id (pre-aggregated)
     and joins it back, so a hub only makes a long join side, which adaptive execution
-    splits. Each round is checkpointed. Edges with a null end and loops are ignored.
+    splits. Each round is a saved table. Edges with a null end and loops are ignored.
     """
-    shared_dir(edges.sparkSession)
-    current = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    current = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if current.isEmpty():
         return current.toDF("id", "component")
     mark = None
@@ -46,7 +48,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        current = small.distinct().checkpoint()
+        current = saved(small.distinct())
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
