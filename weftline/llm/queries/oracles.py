@@ -37,16 +37,25 @@ OP5 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text,
  c AS (SELECT a, min(b) m FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, m) AS component_id, d.doc_id = least(d.doc_id, m) AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON a = d.doc_id"""
 
-OP7 = """WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
- c AS (SELECT conv_id, turn, count(*) n, min_by(text, coalesce(text, '')) text FROM t WHERE role = 'user' GROUP BY 1, 2),
- r AS (SELECT conv_id, turn - 1 turn, count(*) n, min_by(text, coalesce(text, '')) text FROM t WHERE role = 'assistant' GROUP BY 1, 2),
- j AS (SELECT coalesce(c.conv_id, r.conv_id) conv_id, coalesce(c.turn, r.turn) turn, c.n nc, r.n nr, c.text ct, r.text rt FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn)
-SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, 0 AS level, CASE WHEN nc IS NULL THEN turn + 1 ELSE turn END AS pos,
+OP7 = """WITH RECURSIVE c AS (SELECT conv_id, turn, any_value(text) ct, count(*) nc FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL GROUP BY 1, 2),
+ r AS (SELECT conv_id, turn - 1 turn, any_value(text) rt, count(*) nr FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY 1, 2),
+ j AS (SELECT *, length(ct) n, coalesce(CASE WHEN length(ct) % 7 = 0 THEN 'guess' WHEN length(ct) % 2 = 1 THEN 'count' END, 'reply') tool FROM c FULL JOIN r USING (conv_id, turn)),
+ wants AS (SELECT conv_id, turn, unnest(CASE WHEN n % 13 = 0 THEN [turn] WHEN conv_id % 2 = 0 THEN CASE WHEN turn >= 2 THEN [turn - 2] ELSE [] END WHEN conv_id % 4 = 1 THEN [turn + 2] ELSE [turn + 2, turn + 4] END) need FROM j WHERE nc IS NOT NULL),
+ links AS (SELECT w.* FROM wants w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.need),
+ late AS (SELECT DISTINCT conv_id FROM links WHERE need >= turn), sizes AS (SELECT conv_id, count(*) calls FROM c GROUP BY 1),
+ cyc(conv_id, turn) AS (SELECT conv_id, turn FROM links WHERE need = turn UNION SELECT l.conv_id, l.turn FROM links l JOIN cyc ON l.conv_id = cyc.conv_id AND l.need = cyc.turn),
+ depth(conv_id, turn, d) AS (SELECT conv_id, turn, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM cyc WHERE cyc.conv_id = c.conv_id AND cyc.turn = c.turn)
+  UNION SELECT l.conv_id, l.turn, d + 1 FROM links l JOIN depth ON l.conv_id = depth.conv_id AND l.need = depth.turn WHERE NOT EXISTS (SELECT 1 FROM cyc WHERE cyc.conv_id = l.conv_id AND cyc.turn = l.turn)),
+ lv AS (SELECT conv_id, turn, max(d) d FROM depth GROUP BY 1, 2),
+ unknown AS (SELECT conv_id, turn, string_agg(DISTINCT 'unknown call c' || conv_id || '-' || need, '; ' ORDER BY 'unknown call c' || conv_id || '-' || need) u FROM wants w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = w.conv_id AND c.turn = w.need) GROUP BY 1, 2),
+ k AS (SELECT j.*, u, d, calls, cyc.turn IS NOT NULL cycle, late.conv_id IS NOT NULL is_late FROM j LEFT JOIN unknown USING (conv_id, turn) LEFT JOIN lv USING (conv_id, turn) LEFT JOIN cyc ON cyc.conv_id = j.conv_id AND cyc.turn = j.turn LEFT JOIN late ON late.conv_id = j.conv_id LEFT JOIN sizes ON sizes.conv_id = j.conv_id)
+SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, CAST(CASE WHEN nc IS NULL OR NOT is_late THEN 0 WHEN cycle THEN calls ELSE d END AS INTEGER) AS level, CASE WHEN nc IS NULL THEN turn + 1 ELSE turn END AS pos,
  CASE WHEN nc IS NULL THEN 'no call' WHEN nr IS NULL THEN 'no result' ELSE 'linked' END AS status,
- CASE WHEN nc IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN ct IS NULL THEN 'missing prompt' END, CASE WHEN turn >= 2 AND NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = j.conv_id AND p.turn = j.turn - 2)
-  THEN 'unknown call c' || conv_id || '-' || (turn - 2) END) END AS errors, coalesce(nc, 0) AS n_calls, coalesce(nr, 0) AS n_results,
- sha256('{"arguments":' || CASE WHEN nc IS NULL THEN 'null' ELSE '{' || coalesce('"prompt":' || to_json(ct)::VARCHAR || ',', '') || '"turn":' || turn || '}' END || ',"id":"c' || conv_id || '-' || turn || '","name":' ||
-  CASE WHEN nc IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(rt)::VARCHAR, 'null') || '}') AS json_sha256 FROM j"""
+ CASE WHEN nc IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN tool = 'guess' THEN 'no such tool' END, CASE WHEN ct IS NULL THEN 'missing prompt' END, CASE WHEN tool = 'count' AND n % 3 = 0 THEN 'not integer chars' END,
+  CASE WHEN tool = 'count' AND n % 5 = 0 THEN 'unknown note' END, u, CASE WHEN cycle THEN 'cycle' END) END AS errors, coalesce(nc, 0) AS n_calls, coalesce(nr, 0) AS n_results,
+ sha256('{"arguments":' || CASE WHEN nc IS NULL THEN 'null' WHEN tool = 'guess' THEN '{"turn":' || turn || '}' WHEN tool = 'count' THEN '{"chars":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END ||
+   CASE WHEN n % 5 = 0 THEN ',"note":' || to_json(ct)::VARCHAR ELSE '' END || ',"turn":' || turn || '}' ELSE '{' || coalesce('"prompt":' || to_json(ct)::VARCHAR || ',', '') || '"turn":' || turn || '}' END ||
+  ',"id":"c' || conv_id || '-' || turn || '","name":' || CASE WHEN nc IS NULL THEN 'null' ELSE '"' || tool || '"' END || ',"result":' || coalesce(to_json(rt)::VARCHAR, 'null') || '}') AS json_sha256 FROM k"""
 
 OP9 = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings),
  l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),

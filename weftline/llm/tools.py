@@ -61,28 +61,52 @@ def argument_errors(arguments: Column, params: Column) -> Column:
     return F.when(params.isNull(), F.array(F.lit("no such tool"))).when(~object_, F.array(F.lit("arguments are no object"))).otherwise(found)
 
 
-def _levels(calls: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
-    """(conv, call_id, level, cyclic) of the calls in conversations where some call stands before one that it needs.
+def _chain_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv, call_id, level, cyclic) where no call needs more than one other.
 
-    Peels off the calls whose needs are all placed, one level a round; what is left when
-    nothing more can be placed hangs on a cycle.
+    Every round doubles how far a call looks along its chain, so there are as many as the
+    longest conversation has binary digits; who still finds a call then is on a cycle or
+    behind one.
     """
-    late = links.where("pos < need_pos").select("conv").distinct()
-    left = saved(calls.join(late, "conv", "left_semi").select("conv", "call_id"))
-    needs = saved(links.join(late, "conv", "left_semi").select("conv", "call_id", "need"))
-    done = left.limit(0).select("conv", "call_id", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    for level in range(max_rounds):
-        free = left.join(needs, ["conv", "call_id"], "left_anti")
-        now = saved(free)
+    state = saved(calls.join(needs, ["conv", "call_id"], "left").select("conv", "call_id", "n", F.col("need").alias("up"), F.col("need").isNotNull().cast("int").alias("level")))
+    longest = state.agg(F.max("n")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        ahead = state.select("conv", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        state = saved(state.join(ahead, ["conv", "up"], "left").select("conv", "call_id", "n", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+    cyclic = F.col("up").isNotNull()
+    return state.select("conv", "call_id", F.when(cyclic, F.col("n")).otherwise(F.col("level")).cast("int").alias("level"), cyclic.alias("cyclic"))
+
+
+def _peeled_levels(left: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv, call_id, level, cyclic) by peeling off the calls whose needs are all placed, one level a round; what is left in the end hangs on a cycle."""
+    done, level = None, 0
+    while True:
+        now = saved(left.join(needs, ["conv", "call_id"], "left_anti"))
         if now.isEmpty():
             break
-        done = done.union(now.select("conv", "call_id", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
+        placed = now.select("conv", "call_id", F.lit(level).alias("level"), F.lit(False).alias("cyclic"))
+        done = placed if done is None else done.union(placed)
+        if level % 20 == 19:  # a plan stays short, whatever the number of rounds
+            done = saved(done)
         left = saved(left.join(now, ["conv", "call_id"], "left_anti"))
-        needs = saved(needs.join(now.withColumnRenamed("call_id", "need"), ["conv", "need"], "left_anti"))
-    return done.union(left.select("conv", "call_id", F.lit(max_rounds).alias("level"), F.lit(True).alias("cyclic")))
+        needs = saved(needs.join(now.select("conv", F.col("call_id").alias("need")), ["conv", "need"], "left_anti"))
+        level += 1
+    rest = left.select("conv", "call_id", F.col("n").cast("int").alias("level"), F.lit(True).alias("cyclic"))
+    return rest if done is None else done.union(rest)
+
+
+def _levels(calls: DataFrame, links: DataFrame) -> DataFrame:
+    """(conv, call_id, level, cyclic) of the calls in conversations where some call stands before one that it needs."""
+    late = links.where("pos < need_pos").select("conv").distinct()
+    sizes = calls.join(late, "conv", "left_semi").groupBy("conv").agg(F.count("*").alias("n"))
+    left = saved(calls.select("conv", "call_id").join(sizes, "conv"))
+    needs = saved(links.join(late, "conv", "left_semi").select("conv", "call_id", "need"))
+    several = saved(needs.groupBy("conv", "call_id").agg(F.count("*").alias("m")).where("m > 1").select("conv").distinct())
+    chains = _chain_levels(left.join(several, "conv", "left_anti"), needs.join(several, "conv", "left_anti"))
+    return chains.union(_peeled_levels(left.join(several, "conv", "left_semi"), needs.join(several, "conv", "left_semi")))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, max_rounds: int = 1000, max_broadcast: int = 100_000) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
     """One row per conversation and call id: conv, call_id, level, pos, status, errors, n_calls, n_results, json.
 
     ``calls(conv, pos, call_id, name, arguments, after)`` and ``results(conv, pos, call_id,
@@ -93,9 +117,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, ma
 
     (level, pos) is a topological order of a conversation: a call comes after those in
     its ``after``. Where the messages already stand in such an order all levels are 0;
-    otherwise calls are placed level by level, one round for each, and calls on a cycle
-    or behind one come last with the error ``cycle``. A conversation's rows are never
-    gathered: sort the output to read them in order.
+    otherwise a level is the length of the longest chain of needs, and calls on a cycle or
+    behind one come last with the error ``cycle``, at the level of their conversation's
+    number of calls. Chains take rounds in the logarithm of their length; in conversations
+    where a call needs several others, one round for each level. A conversation's rows are
+    never gathered: sort the output to read them in order.
 
     Of several calls or results with one id the first by (pos, text) counts, and
     n_calls and n_results tell how many there were. A null conversation or id can't be
@@ -119,7 +145,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, ma
     links = wants.join(at, ["conv", "need"])
     # in order by position unless the other call stands later; a call that needs itself is a cycle
     links = links.withColumn("need_pos", F.when(F.col("need") == F.col("call_id"), F.col("pos") + 1).otherwise(F.col("need_pos")))
-    levels = _levels(calls, links, max_rounds)
+    levels = _levels(calls, links)
     unknown = wants.join(at, ["conv", "need"], "left_anti").groupBy("conv", "call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("unknown call "), F.col("need")))).alias("unknown"))
 
     out = out.join(levels, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
