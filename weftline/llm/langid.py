@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 #: Characters of normalised text that are compressed at once, so that every part of a long text meets the dictionary.
 BLOCK = 1024
 LEVEL = 6
 
 
 def normalise(text: str | None) -> str:
-    """Lower-case letters, with one space for every run of other characters."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    """Lower-case letters and their marks, with one space for every run of other characters; empty if there is no letter."""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text and _LETTER.search(text) else ""
 
 
 def snippets(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, chars: int) -> dict[str, list[str]]:
