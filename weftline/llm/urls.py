@@ -70,24 +70,19 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_count: int =
     return [r for r in rules if not implied(r)]
 
 
-def match_rules(tokens: Column, rules: list[UrlRule]) -> Column:
-    """The number of the first rule whose tokens are all there, else null.
+def match_rules(urls: DataFrame, rules: list[UrlRule], max_broadcast: int = 100_000) -> DataFrame:
+    """(url, verdict, mined) of the first rule whose tokens are all in a url, for the rows of ``urls(url, tokens)`` that have one; repeated urls give one row.
 
-    The rules stand in an inverted index from token to rule numbers; a rule matches if
-    it is found as often as it has tokens.
+    The rules stand in an inverted index, a table from token to rule numbers; a url's
+    tokens are joined with it and a rule matches if it is met as often as it has tokens.
     """
-    if not rules:
-        return F.lit(None).cast("int")
-    index: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules):
-        for t in rule.tokens:
-            index.setdefault(t, []).append(k)
-    entries = F.create_map(*[x for t, ks in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))])
-    sizes = F.array(*[F.lit(len(r.tokens)) for r in rules])
-    hits = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(entries, t)), lambda x: x.isNotNull()))
-    counts = F.aggregate(hits, F.array_repeat(F.lit(0), len(rules)), lambda acc, k: F.transform(acc, lambda n, i: n + (i == k).cast("int")))
-    matched = F.filter(F.sequence(F.lit(0), F.lit(len(rules) - 1)), lambda k: F.get(counts, k) == F.get(sizes, k))
-    return F.when(F.size(hits) > 0, F.array_min(matched))
+    spark = urls.sparkSession
+    index = spark.createDataFrame([(t, k, len(r.tokens)) for k, r in enumerate(rules) for t in r.tokens], "token string, k int, size int")
+    said = spark.createDataFrame([(k, r.verdict, " & ".join(r.tokens)) for k, r in enumerate(rules)], "k int, verdict string, mined string")
+    hint = F.broadcast if 3 * len(rules) <= max_broadcast else (lambda x: x)
+    met = urls.select("url", F.explode_outer("tokens").alias("token")).distinct().join(hint(index), "token")
+    full = met.groupBy("url", "k", "size").agg(F.count("*").alias("n")).where("n = size")
+    return full.groupBy("url").agg(F.min("k").alias("k")).join(hint(said), "k").drop("k")
 
 
 def stated_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -128,9 +123,8 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, st
     mined = mine_rules(own.select(url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"), "verdict"), **mining)
     out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = stated_rule(F.col("host"), F.col("path"), rules)
-    out = out.select("*", rule.alias("rule"), verdict.alias("stated"), url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
-    out = out.withColumn("k", match_rules(F.col("tokens"), mined))
-    said = F.get(F.array(*[F.lit(r.verdict) for r in mined] or [F.lit(None).cast("string")]), F.col("k"))
-    text = F.get(F.array(*[F.lit(" & ".join(r.tokens)) for r in mined] or [F.lit(None).cast("string")]), F.col("k"))
-    final = F.coalesce("stated", said, F.lit(default))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", final.alias("verdict"), F.when(F.col("stated").isNull(), text).alias("mined"))
+    out = out.select("*", rule.alias("rule"), verdict.alias("stated"))
+    judged = out.where("stated IS NULL").select("url", url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
+    out = out.join(match_rules(judged, mined), "url", "left")
+    final = F.coalesce("stated", "verdict", F.lit(default))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", final.alias("verdict"), F.when(F.col("stated").isNull(), F.col("mined")).alias("mined"))
