@@ -17,6 +17,8 @@ from .shingles import band_keys, shingle_set, sketches
 SIZE, ROWS = 128, 4
 #: Buckets up to this many classes are paired by a join; larger ones are compared block by block.
 SMALL, BLOCK = 32, 1024
+#: Shingles of a block (8 bytes each), beyond which a large bucket is dealt into more blocks.
+BLOCK_ITEMS = 1_000_000
 
 
 def near_duplicates(
@@ -40,12 +42,13 @@ def near_duplicates(
     1. Every whole text is sketched; equal sets form a class, so copies cost one row.
     2. The classes' band keys make buckets. Classes of a bucket of up to ``small``
        are paired by an equi-join, so none has more than ``small`` partners in it.
-       Larger buckets are dealt into blocks of about ``block`` classes, and every
+       Larger buckets are dealt into blocks of about ``block`` classes and a bounded size, and every
        pair of blocks is compared in its own group, which returns each class with the
        first one that it is joined with. So no pair that shares a bucket is left out, yet a large group
        yields rows in proportion to its blocks and not to its pairs.
-    3. Pairs whose sketches rule out the similarity (below it by 5 standard
-       deviations) are left out, the rest are confirmed on full sets.
+    3. Pairs whose sketches rule out the similarity (below it by 6 standard deviations,
+       which a pair at exactly that similarity meets with a probability of about 1e-8) are
+       left out, the rest are confirmed on full sets.
 
     Null and wordless texts have an empty set, link with nothing and are kept. Rows
     that repeat an id are classed by their own text; a null id is never a
@@ -58,9 +61,13 @@ def near_duplicates(
         F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n")
     )
     classes = saved(members.withColumn("c", F.xxhash64("sig")))
-    posts = classes.select("c", F.explode("bands").alias("key"))
-    full = posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    posts = saved(posts.join(full, "key"))
+    # of sets that share the hash, one keeps it and the others take another
+    shared = saved(classes.groupBy("c").agg(F.min("sig").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many"))
+    if not shared.isEmpty():
+        classes = classes.join(shared, "c", "left").withColumn("c", F.when(F.col("sig") != F.col("first"), F.xxhash64(F.lit(1), "sig")).otherwise(F.col("c"))).drop("first")
+    posts = classes.select("c", "n", F.explode("bands").alias("key"))
+    full = posts.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("items")).where("members > 1")
+    posts = saved(posts.drop("n").join(full, "key"))
 
     one = posts.where(F.col("members") <= small).select("key", "c")
     pairs = one.join(one.withColumnRenamed("c", "d"), "key").where("c < d").select("c", "d").distinct()
@@ -132,7 +139,7 @@ def _sketched(width: int, size: int, rows: int):
 
 def _plausible(percent: int, size: int):
     p = percent / 100
-    least = size * p - 5 * (size * p * (1 - p)) ** 0.5
+    least = size * p - 6 * (size * p * (1 - p)) ** 0.5
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -171,7 +178,7 @@ def _confirmed(percent: int):
 
 def _blocks(posts: DataFrame, block: int) -> DataFrame:
     """Each class of a large bucket once for every pair of blocks that its own block is in: (key, i, j, side, c)."""
-    n = F.ceil(F.col("members") / block).cast("int")
+    n = F.ceil(F.greatest(F.col("members") / block, F.col("items") / BLOCK_ITEMS)).cast("int")
     posts = posts.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("c", "key"), n).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return posts.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("side"), "c")

@@ -1,23 +1,25 @@
 """Vectorised hashing of word shingles and fast similarity sketches (NumPy, used inside Spark tasks).
 
-Words are runs of bytes other than space and the bytes 9-13 of the UTF-8 text. A
-word's hash is a polynomial over random byte values modulo 2**64, taken from
-prefix sums, so that no Python code runs per word; a shingle's hash mixes the
-hashes of its words in order.
+Words are runs of bytes other than space and the bytes 9-13 of the UTF-8 text. A word's
+hash joins two polynomials in its bytes, modulo two primes and at two random points, so
+that two words of n bytes agree with a probability of at most (n / 2**30)**2, whatever
+they look like. All words of a text are hashed at once: no Python code runs per word. A
+shingle's hash mixes the hashes of its words in order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+#: (prime modulus, point) of the two polynomials.
+_FIELDS = ((2**31 - 1, 1_350_274_199), (2**31 - 19, 982_451_653))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of a word whose products with powers add up without overflow.
+_SAFE = 1 << 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,23 +30,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown as longer texts come."""
+    """Powers of a point modulo a prime, grown as longer words come."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+    def __init__(self, prime: int, point: int) -> None:
+        self.prime, self.point = prime, point
+        self.known = np.ones(1, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
-            steps = np.full(n, _BASE, dtype=np.uint64)
-            steps[0] = 1
-            self.up = np.multiply.accumulate(steps)
-            steps[1:] = _INVERSE
-            self.down = np.multiply.accumulate(steps)
-        return self.up, self.down
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = np.uint64(pow(self.point, len(self.known), self.prime))
+            self.known = np.concatenate((self.known, self.known * step % np.uint64(self.prime)))
+        return self.known
 
 
-_POWERS = _Powers()
+_POWERS = [_Powers(*field) for field in _FIELDS]
 
 
 def word_hashes(text: str, lower: bool = True) -> np.ndarray:
@@ -57,10 +56,18 @@ def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, dtype=np.uint64)
-    up, down = _POWERS.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    sizes = end - start
+    first = np.cumsum(sizes) - sizes
+    value = (_LOWER[raw] if lower else raw)[~space].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(value)) - np.repeat(first, sizes)
+    out = sizes.astype(np.uint64)
+    for powers in _POWERS:
+        prime = np.uint64(powers.prime)
+        parts = value * powers.upto(int(sizes.max()))[place]
+        if sizes.max() > _SAFE:
+            parts %= prime
+        out = mix(out) + np.add.reduceat(parts, first) % prime
+    return mix(out)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
