@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftline.plans import library
+from weftline.plans import books
 
 TABLES = "/root/testdata/sf0.001"
 ROOT = Path(__file__).parent.parent
@@ -23,15 +23,15 @@ def test_flagship(spark):
     assert entry.entry(spark).columns == ["title_id"] and entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(library.SQL))
+@pytest.mark.parametrize("name", sorted(books.SQL))
 def test_queries_equal_their_oracle(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for p in Path(TABLES).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    got = library.QUERIES[name](spark, TABLES)
+    got = books.QUERIES[name](spark, TABLES)
     columns = sorted(got.columns)
     clean = lambda v: round(v, 4) if isinstance(v, float) else v
     mine = sorted((tuple(clean(v) for v in r) for r in got.select(*columns).collect()), key=str)
-    theirs = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({library.SQL[name]})").fetchall()
+    theirs = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({books.SQL[name]})").fetchall()
     assert mine == sorted((tuple(clean(v) for v in r) for r in theirs), key=str)

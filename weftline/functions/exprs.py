@@ -133,6 +133,11 @@ def decode_entities(c: Column) -> Column:
     return decode(c)
 
 
+def host(url: Column) -> Column:
+    """The host of an absolute url in lower case; empty without one."""
+    return F.lower(F.regexp_extract(url, "^[^:/?#]+://([^/?#]*)", 1))
+
+
 def basename(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 

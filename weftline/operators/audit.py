@@ -127,6 +127,11 @@ def discover(offers: DataFrame, titles: DataFrame, browse: DataFrame) -> DataFra
     return rows.select("seq", "title_id", outcome.alias("outcome"))
 
 
+def unmatched_sample(outcomes: DataFrame, browse: DataFrame, n: int) -> DataFrame:
+    """(seq, title) of the first ``n`` browse rows that no title matches, for a report."""
+    return browse.join(outcomes.where("outcome = 'unmatched'").select("seq"), "seq", "left_semi").select("seq", "title").orderBy("seq").limit(n)
+
+
 def tracked_ids(titles: DataFrame, offers: DataFrame, which: Column) -> DataFrame:
     """Distinct outside ids of live titles with an accepted offer, sorted."""
     own = titles.where(tracked_title()).join(offers.where(which), "title_id", "left_semi")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import last_per_key, join_null_safe, upsert
+from .tables import join_null_safe, last_per_key, seed_dimension, upsert
 
 KEYS = ["title_id", "service_id", "region", "type", "video_quality"]
 VALUES = ["link", "deep_link", "price_amount", "price_currency", "expires_on"]
@@ -123,9 +123,24 @@ def apply_changes(offers: DataFrame, changes: DataFrame, payloads: DataFrame, op
     return done.union(offers.where(~F.coalesce(F.col("region") == region, no)))
 
 
-def change_counts(changes: DataFrame) -> DataFrame:
-    """(kind, n): the changes seen of every kind, with or without a show."""
-    return changes.groupBy("kind").agg(F.count("*").alias("n"))
+def change_counts(changes: DataFrame, failed: Column | None = None) -> DataFrame:
+    """(kind, n, failures): the changes seen of every kind, with or without a show, and how many of them meet the condition ``failed``."""
+    failed = F.lit(False) if failed is None else failed
+    return changes.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce(failed, F.lit(False))).alias("failures"))
+
+
+def load_catalog(titles: DataFrame, services: DataFrame, offers: DataFrame, shows: DataFrame, named: DataFrame, options: DataFrame, region: str = "US") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(titles, services, offers) after a full load of a catalog's pages.
+
+    ``shows``, ``named`` and ``options`` are the pages' flattened shows, services and
+    options. Services are seeded first; of several shows of a title the last page's
+    counts; every title's offers in the region are replaced by its options.
+    """
+    columns = [c for c in titles.columns if c != "title_id" and c in shows.columns]
+    known = [c for c in services.columns if c != "id" and c in named.columns]
+    titles = upsert(titles, shows, ["title_id"], columns, ["page"])
+    services = seed_dimension(services, named, "id", "name", known, ["page", "pos"])
+    return titles, services, replace_offers(offers, shows.select("title_id"), options, region)
 
 
 def replaced_titles(titles: DataFrame, payloads: DataFrame, attributes: DataFrame, options: DataFrame, columns: list[str]) -> DataFrame:

@@ -38,16 +38,16 @@ def lookup_volumes(works: DataFrame, volumes: DataFrame, found: DataFrame) -> Da
 
 
 def stamp_editions(works: DataFrame, editions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(works, collisions): the first ISBN with an edition gives a work its key, ISBNs and cover.
+    """(works, collisions): the first ISBN with an edition gives a work its ISBNs, its cover and, where it has none, its key.
 
     ``works(work, work_key, isbn13s, cover_url)``, ``editions(isbn, work_key, isbn13s, cover_url)``.
     A key that another work holds, or that an earlier work takes, isn't stamped and is
     reported in collisions(work, work_key).
     """
-    asked = works.where("work_key IS NULL").select("work", F.posexplode("isbn13s").alias("pos", "isbn"))
+    asked = works.select("work", F.posexplode("isbn13s").alias("pos", "isbn"))
     known = editions.where("work_key IS NOT NULL").groupBy("isbn").agg(F.min(F.struct("work_key", "isbn13s", "cover_url")).alias("e"))
     first = asked.join(known, "isbn").groupBy("work").agg(F.min_by("e", "pos").alias("e"))
-    wanted = first.select("work", F.col("e.work_key").alias("work_key"), F.col("work").alias("seq"))
+    wanted = first.join(works.where("work_key IS NULL").select("work"), "work", "left_semi").select("work", F.col("e.work_key").alias("work_key"), F.col("work").alias("seq"))
     stamped = stamp_unique(wanted, works)
     taken = stamped.where("accepted").select("work", F.col("work_key").alias("new_key"))
     out = works.join(first, "work", "left").join(taken, "work", "left")
@@ -62,21 +62,19 @@ def stamp_editions(works: DataFrame, editions: DataFrame) -> tuple[DataFrame, Da
     return out.select(*works.columns), stamped.where("NOT accepted").select("work", "work_key")
 
 
-def budgeted_prefix(rows: DataFrame, order: str, cost: str, budget: int, parts: int = 64) -> DataFrame:
+def budgeted_prefix(rows: DataFrame, order: str, cost: str, budget: int, parts: int | None = None) -> DataFrame:
     """The rows, in the order of a unique column, before which less than ``budget`` has been spent; the last may overshoot.
 
     A running total over all rows needs them in order but not in one task: rows are
-    range-partitioned, written, and each part adds the small sums of the parts before.
+    range-partitioned into ``parts``, by default as many as a shuffle has, written, and each part adds
+    the sums of the parts before, one small row for each part.
     """
-    spent = saved(rows.withColumn("_cost", F.coalesce(F.col(cost), F.lit(0))).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
-    sums = {r["_part"]: r["s"] for r in spent.groupBy("_part").agg(F.sum("_cost").alias("s")).collect()}
-    total, start = 0, []
-    for part in sorted(sums):
-        start += [F.lit(part), F.lit(total)]
-        total += sums[part]
+    spent = saved(rows.withColumn("_cost", F.coalesce(F.col(cost), F.lit(0))).repartitionByRange(*([parts] if parts else []), order).withColumn("_part", F.spark_partition_id()))
+    sums = spent.groupBy("_part").agg(F.sum("_cost").alias("_sum"))
+    base = sums.select("_part", F.expr("coalesce(sum(_sum) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_base"))
     before = F.expr(f"coalesce(sum(_cost) OVER (PARTITION BY _part ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    base = F.create_map(*start)[F.col("_part")] if start else F.lit(0)
-    return spent.withColumn("spent_before", before + base).where(F.col("spent_before") < budget).drop("_cost", "_part")
+    out = spent.withColumn("_before", before).join(F.broadcast(base), "_part").withColumn("spent_before", F.col("_before") + F.col("_base"))
+    return out.where(F.col("spent_before") < budget).drop("_cost", "_part", "_before", "_base")
 
 
 def soft_delete(titles: DataFrame, status: DataFrame, now: Column) -> DataFrame:

@@ -20,9 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing stands at yet."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The frame written once to the shared folder and read back: cuts lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

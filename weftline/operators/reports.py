@@ -40,10 +40,10 @@ def month_to_date(log: DataFrame, started_at: str, calls: str, now: Column) -> D
 
 
 def services_report(offers: DataFrame, services: DataFrame, region: str, exact: bool = True) -> DataFrame:
-    """(service, titles): distinct titles of every service in a region."""
+    """(name, titles): distinct titles of every service in a region; services of one name have a row each."""
     count = F.countDistinct if exact else F.approx_count_distinct
     own = offers.where(F.col("region") == region).groupBy("service_id").agg(count("title_id").alias("titles"))
-    return own.join(services, "service_id").groupBy("name").agg(F.sum("titles").alias("titles"))
+    return own.join(services, "service_id").select("name", "titles")
 
 
 def job_health(log: DataFrame, watch: DataFrame, now: Column, verify: str | None = None, pipeline: str | None = None) -> DataFrame:
@@ -93,11 +93,21 @@ def ambiguity_report(log: DataFrame, entries: str, order: str, runs: int = 50) -
     return first.select("f.title", "list_source", "f.run")
 
 
-def job_summary(health: DataFrame, log: DataFrame) -> DataFrame:
-    """(job, summary): verdict, duration and processed count of the latest run as one line of text."""
-    latest = latest_per(log, "sync_type", "id").select("sync_type", "titles_processed")
+def job_summary(health: DataFrame, log: DataFrame, filled: DataFrame | None = None) -> DataFrame:
+    """(job, summary): verdict, duration, processed count and counts in the metadata of the latest run, and the coverage if given, as one line of text.
+
+    ``filled`` is a row of ``coverage``; a log without metadata has no counts.
+    """
+    if "metadata" not in log.columns:
+        log = log.withColumn("metadata", F.lit(None).cast("string"))
+    counts = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, v: v.rlike("^[0-9]+$"))
+    counts = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws(" ", e["value"], e["key"]))
+    latest = latest_per(log, "sync_type", "id").select("sync_type", "titles_processed", F.nullif(F.array_join(counts, ", "), F.lit("")).alias("counts"))
+    covers = F.lit(None).cast("string").alias("covers") if filled is None else F.concat_ws(" ", F.lit("covers"), "filled", F.lit("of"), "total").alias("covers")
+    one = F.lit(1).alias("_one")
+    latest = latest.select("*", covers) if filled is None else latest.select("*", one).join(F.broadcast(filled.limit(1).select(covers, one)), "_one").drop("_one")
     rows = health.join(latest, health["job"] == latest["sync_type"], "left")
-    text = F.concat_ws(", ", F.concat_ws(": ", "job", "verdict"), F.concat(F.col("minutes").cast("string"), F.lit(" min")), F.concat(F.col("titles_processed").cast("string"), F.lit(" processed")))
+    text = F.concat_ws(", ", F.concat_ws(": ", "job", "verdict"), F.concat(F.col("minutes").cast("string"), F.lit(" min")), F.concat(F.col("titles_processed").cast("string"), F.lit(" processed")), "counts", "covers")
     return rows.select("job", text.alias("summary"))
 
 

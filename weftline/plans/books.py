@@ -1,14 +1,12 @@
-"""Registered queries of the book library's operators and of the streams, bound to the driver's tables."""
+"""Registered queries of the operators on books and of the streams, bound to the driver's tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import audit, enrich, reports, tables, works
-from ..operators.graph import shared_dir
+from ..operators.graph import new_path
 from ..sources import landed
 from ..streaming import streams
 from .catalog import OFFERS, QUERIES, SQL, as_watched, offers, query, read, ts
@@ -32,18 +30,17 @@ def isbn_normalize(spark, d):
     return read(spark, d, "part").select("p_partkey", X.isbn13(raw).alias("isbn"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) l FROM documents),
+@query(r"""WITH t AS (SELECT doc_id, text l FROM documents),
  n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(strip_accents(lower(trim(l))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[''’]', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) n FROM t)
 SELECT doc_id, regexp_replace(n, '^(a|an|the) ', '') AS title, CASE WHEN n = '' THEN NULL ELSE nullif(string_split(n, ' ')[-1], '0') END AS last FROM n""")
 def title_normalize(spark, d):
-    line = F.substring_index("text", "\n", 1)
-    rows = read(spark, d, "documents").select("doc_id", line.alias("line"))
-    return rows.select("doc_id", X.normalize_title(F.col("line")).alias("title"), X.last_name(X.normalize_author(F.col("line"))).alias("last"))
+    rows = read(spark, d, "documents")
+    return rows.select("doc_id", X.normalize_title(F.col("text")).alias("title"), X.last_name(X.normalize_author(F.col("text"))).alias("last"))
 
 
-@query(r"SELECT doc_id, regexp_replace(translate(split_part(text, chr(10), 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g') AS squashed FROM documents")
+@query(r"SELECT doc_id, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g') AS squashed FROM documents")
 def name_squash(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.squash(F.substring_index("text", "\n", 1)).alias("squashed"))
+    return read(spark, d, "documents").select("doc_id", X.squash(F.col("text")).alias("squashed"))
 
 
 @query("SELECT event_id, strftime(least(to_timestamp(least(event_id * 200000000, 253402300799)) AT TIME ZONE 'UTC', TIMESTAMP '9999-12-31 23:59:59'), '%Y-%m-%d %H:%M:%S') AS clamped FROM events")
@@ -52,22 +49,22 @@ def timestamp_clamp(spark, d):
     return read(spark, d, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("clamped"))
 
 
-@query("""WITH i AS (SELECT DISTINCT l_orderkey item, l_suppkey k FROM lineitem WHERE l_orderkey % 3 = 0), w AS (SELECT DISTINCT l_partkey work, l_suppkey k FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 = 0)
-SELECT item, min(work) AS low, max(work) AS high, min(work) <> max(work) AS ambiguous FROM i JOIN w USING (k) GROUP BY item""")
+@query("""WITH i AS (SELECT DISTINCT l_orderkey item, l_suppkey k FROM lineitem), w AS (SELECT l_suppkey k, min(l_partkey) lo, max(l_partkey) hi FROM lineitem GROUP BY 1)
+SELECT item, min(lo) AS low, max(hi) AS high, min(lo) <> max(hi) AS ambiguous FROM i JOIN w USING (k) GROUP BY item""")
 def isbn_match_ambiguity(spark, d):
     li = read(spark, d, "lineitem")
     lists = lambda rows, name, key: rows.groupBy(F.col(key).alias(name)).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("isbn13s"))
-    items = lists(li.where("l_orderkey % 3 = 0"), "item", "l_orderkey")
-    held = lists(li.where("l_linenumber = 1 AND l_partkey % 5 = 0"), "work", "l_partkey")
+    items = lists(li, "item", "l_orderkey")
+    held = lists(li, "work", "l_partkey")
     return works.isbn_matches(items, held).withColumn("ambiguous", F.col("low") != F.col("high"))
 
 
 @query("""WITH p AS (SELECT p_partkey id, lower(p_name) t, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE replace(lower(p_brand), '#', ' ') END a FROM part),
  n AS (SELECT id, regexp_replace(t, '^(a|an|the) ', '') t, string_split(a, ' ')[-1] l FROM p)
-SELECT i.id AS item, min(w.id) AS low, max(w.id) AS high FROM n i JOIN n w ON i.t = w.t AND (i.l IS NULL OR w.l IS NULL OR i.l = w.l) WHERE i.id % 10 = 1 AND w.id % 3 = 0 GROUP BY 1""")
+SELECT i.id AS item, min(w.id) AS low, max(w.id) AS high FROM n i JOIN n w ON i.t = w.t AND (i.l IS NULL OR w.l IS NULL OR i.l = w.l) GROUP BY 1""")
 def title_author_match(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand")).alias("author"))
-    return works.title_author_matches(p.where("id % 10 = 1").withColumnRenamed("id", "item"), p.where("id % 3 = 0").withColumnRenamed("id", "work"))
+    return works.title_author_matches(p.withColumnRenamed("id", "item"), p.withColumnRenamed("id", "work"))
 
 
 @query("""WITH r AS (SELECT o_custkey w, o_orderkey s, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END a, CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) END y, o_orderstatus || '' st, o_orderpriority p FROM orders),
@@ -175,7 +172,7 @@ def stream_newest_wins(spark, d):
     rows = spark.readStream.schema(schema).parquet(_stream_dir(d, "orders")).select(
         F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") != "P", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")).alias("day")
     )
-    out, state = _scratch(spark), _scratch(spark)
+    out, state = new_path(spark), new_path(spark)
 
     def keep(batch, n):
         batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
@@ -192,7 +189,7 @@ def stream_change_counts(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     kind = F.when(F.col("event_id") % 4 == 0, "removed").when(F.col("event_id") % 4 == 1, "expiring").otherwise("updated")
     rows = spark.readStream.schema(schema).parquet(_stream_dir(d, "events")).select("event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
-    out, state = _scratch(spark), _scratch(spark)
+    out, state = new_path(spark), new_path(spark)
 
     def keep(batch, n):
         batch.groupBy("kind").agg(F.count("*").alias("n")).withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
@@ -207,10 +204,6 @@ def _stream_dir(d: str, name: str) -> str:
     return f"{d}/{name}.parquet*"
 
 
-def _scratch(spark) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
 @query()
 def ingest_resolution(spark, d):
     """Odd parts as items taken in order against the even ones as stored works: names and ISBNs shared by a few parts each.
@@ -264,10 +257,10 @@ def unique_stamp(spark, d):
     return works.stamp_unique(wanted, held)
 
 
-@query("""WITH x AS (SELECT c_custkey work, c_name title FROM customer), b AS (SELECT o_custkey work, arg_min(o_orderpriority, (o_orderkey, o_orderpriority)) v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+@query("""WITH x AS (SELECT c_custkey work, c_name title FROM customer), b AS (SELECT o_custkey work, arg_min(o_orderpriority, (o_orderkey, o_orderpriority)) v FROM orders GROUP BY 1)
 SELECT work, v AS volume FROM b JOIN x USING (work)""")
 def volume_lookup(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = read(spark, d, "orders")
     order = o.groupBy(F.col("o_custkey").alias("work")).agg(F.min("o_orderkey").cast("string").alias("first"))
     own = read(spark, d, "customer").select(F.col("c_custkey").alias("work"), F.col("c_name").alias("title")).join(order, "work", "left")
     own = own.select("work", "title", F.array(F.lit("none"), "first").alias("isbn13s"))

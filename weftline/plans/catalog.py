@@ -76,7 +76,7 @@ def availability_flagged_subset(spark, d):
     return availability_ids(spark, d).join(flagged, "title_id", "left_semi")
 
 
-@query("SELECT s_name AS name, count(DISTINCT l_partkey) AS titles FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A' GROUP BY s_name")
+@query("SELECT s_name AS name, count(DISTINCT l_partkey) AS titles FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A' GROUP BY s_suppkey, s_name")
 def titles_per_service(spark, d):
     services = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("service_id"), F.col("s_name").alias("name"))
     return reports.services_report(offers(spark, d).select("title_id", "service_id", "region"), services, "A")
@@ -256,14 +256,14 @@ def replace_offers(spark, d):
     return out.select(*changes.KEYS, "link", F.col("price_amount").cast("double").alias("price_amount"), "available_from", "source")
 
 
-@query(f"""WITH base AS {_BASE}, ch AS (SELECT l_orderkey seq, * FROM {OFFERS} WHERE l_orderkey % 2 = 1 AND l_quantity < 5 AND region = 'A'),
+@query(f"""WITH base AS {_BASE}, ch AS (SELECT l_orderkey seq, * FROM {OFFERS} WHERE l_orderkey % 2 = 1 AND region = 'A'),
  last AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY title_id, service_id, type ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, price_amount DESC, l_discount DESC, l_tax DESC) = 1)
 SELECT coalesce(k.title_id, l.title_id) AS title_id, coalesce(k.service_id, l.service_id) AS service_id, coalesce(k.region, 'A') AS region, coalesce(k.type, l.type) AS type, k.video_quality,
  coalesce(l.link, k.link) AS link, CASE WHEN l.link IS NOT NULL THEN l.expires_on ELSE k.available_from END AS available_from, CASE WHEN l.link IS NOT NULL THEN 'motn' ELSE k.source END AS source
 FROM base k FULL JOIN last l ON k.title_id = l.title_id AND k.service_id = l.service_id AND k.region = 'A' AND k.type = l.type AND k.video_quality IS NULL""")
 def upcoming_upsert(spark, d):
     rows = offers(spark, d)
-    ch = rows.where("l_orderkey % 2 = 1 AND l_quantity < 5 AND region = 'A'").withColumn("ts", F.col("expires_on"))
+    ch = rows.where("l_orderkey % 2 = 1 AND region = 'A'").withColumn("ts", F.col("expires_on"))
     out = changes.apply_upcoming(_base(rows), ch.withColumn("seq", F.struct(*ORDER[:6])), "A")
     return out.select(*changes.KEYS, "link", "available_from", "source")
 
@@ -292,24 +292,18 @@ def discovery_upsert(spark, d):
     return out.select(*changes.KEYS, "link", "source")
 
 
-_CH = """ev AS (SELECT event_id seq, (user_id % 40)::VARCHAR title_id, (json_extract(props,'$.k')::BIGINT % 5)::VARCHAR service_id, CASE WHEN event_id % 3 = 0 THEN 'F' ELSE 'O' END AS type,
- CASE event_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'expiring' ELSE 'updated' END kind, ts FROM events)"""
-_STORE = f"""store AS (SELECT DISTINCT ON (title_id, service_id, type, video_quality) * REPLACE (((l_partkey2 % 40)::VARCHAR) AS title_id, ((l_suppkey2 % 5)::VARCHAR) AS service_id)
- FROM (SELECT *, title_id::BIGINT l_partkey2, service_id::BIGINT l_suppkey2 FROM {OFFERS}))"""
-
-
 def _change_batch(spark, d):
-    """Events as a change batch over 40 titles and 5 services: a fourth removes, a fourth expires, half carry payloads."""
+    """Events as a change batch over titles by user: a fourth removes, a fourth expires, half carry payloads."""
     kind = F.when(F.col("event_id") % 4 == 0, "removed").when(F.col("event_id") % 4 == 1, "expiring").otherwise("updated")
     number = F.get_json_object("props", "$.k").cast("long")
     return read(spark, d, "events").select(
-        F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("user_id") % 40).cast("string").alias("title_id"), (number % 5).cast("string").alias("service_id"),
+        F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").cast("string").alias("title_id"), number.cast("string").alias("service_id"),
         F.when(F.col("event_id") % 3 == 0, "F").otherwise("O").alias("type"), "ts", number.alias("k"), "value",
     )
 
 
-@query("""WITH ev AS (SELECT event_id seq, CASE event_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'expiring' ELSE 'updated' END kind, (user_id % 40)::VARCHAR title_id,
-  (json_extract(props,'$.k')::BIGINT % 5)::VARCHAR service_id, CASE WHEN event_id % 3 = 0 THEN 'F' ELSE 'O' END AS type, ts, json_extract(props,'$.k')::BIGINT k, value FROM events),
+@query("""WITH ev AS (SELECT event_id seq, CASE event_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'expiring' ELSE 'updated' END kind, user_id::VARCHAR title_id,
+  json_extract(props,'$.k')::VARCHAR service_id, CASE WHEN event_id % 3 = 0 THEN 'F' ELSE 'O' END AS type, ts, json_extract(props,'$.k')::BIGINT k, value FROM events),
  opt AS (SELECT seq, title_id, service_id, type, CASE WHEN k % 2 = 0 THEN NULL ELSE 'hd' END q, '/title/' || seq link, ts AS expires_on FROM ev WHERE kind = 'updated'),
  base AS (SELECT DISTINCT title_id, service_id, type, q, 'motn' source, '/old/' || title_id link FROM opt WHERE seq % 2 = 0),
  r AS (SELECT title_id, max(seq) swap FROM opt GROUP BY 1),
@@ -353,7 +347,7 @@ def exact_nearest_year(spark, d):
 
 
 @query("""WITH w AS (SELECT p_partkey id, p_type ty, string_split(lower(p_name), ' ') p FROM part),
- t AS (SELECT min(id) id, ty, n FROM (SELECT id, ty, p[2] || ' ' || (id % 3) n FROM w) GROUP BY ty, n), q AS (SELECT id qid, ty, array_to_string(p, ' ') || ' ' || (id % 3) qn FROM w WHERE id % 4 = 0),
+ t AS (SELECT min(id) id, ty, n FROM (SELECT id, ty, p[2] || ' ' || (id % 3) n FROM w) GROUP BY ty, n), q AS (SELECT id qid, ty, array_to_string(p, ' ') || ' ' || (id % 3) qn FROM w),
  c AS (SELECT qid, t.id tid, CASE WHEN len(string_split(qn,' ')) <= len(string_split(n,' ')) THEN qn ELSE n END s, CASE WHEN len(string_split(qn,' ')) <= len(string_split(n,' ')) THEN n ELSE qn END l FROM q JOIN t USING (ty)
   WHERE contains(' ' || n || ' ', ' ' || qn || ' ') OR contains(' ' || qn || ' ', ' ' || n || ' ')),
  ok AS (SELECT * FROM c WHERE length(replace(s,' ','')) * 2 >= length(replace(l,' ','')))
@@ -361,43 +355,45 @@ SELECT qid AS query_id, CASE WHEN count(DISTINCT tid) = 1 THEN min(tid) END AS m
 def subtitle_match(spark, d):
     w = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.split(F.lower("p_name"), " ").alias("p"))
     t = w.select("id", "type", F.concat(F.get("p", F.lit(1)), F.lit(" "), (F.col("id") % 3).cast("string")).alias("title")).groupBy("type", "title").agg(F.min("id").alias("id"))
-    q = w.where("id % 4 = 0").select(F.col("id").alias("query_id"), "type", F.concat(F.array_join("p", " "), F.lit(" "), (F.col("id") % 3).cast("string")).alias("title"))
+    q = w.select(F.col("id").alias("query_id"), "type", F.concat(F.array_join("p", " "), F.lit(" "), (F.col("id") % 3).cast("string")).alias("title"))
     return match.subtitle_matches(q, t)
 
 
-@query(f"""WITH q AS (SELECT p_partkey qid, p_type ty, {_NORM} n FROM part WHERE p_partkey % 7 = 0), r AS (SELECT p_partkey vid, p_type ty, left({_NORM}, 9) n, p_size rk FROM part WHERE p_partkey % 7 <> 0),
+@query("""WITH nm AS (SELECT p_partkey pk, p_type ty, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') n FROM part), w AS (SELECT l_orderkey qid, min(l_partkey) pk FROM lineitem GROUP BY 1),
+ q AS (SELECT qid, ty, n || CASE qid % 3 WHEN 1 THEN 'extended' WHEN 2 THEN '2' ELSE '' END n FROM w JOIN nm USING (pk)), r AS (SELECT l_orderkey qid, l_linenumber rk, l_partkey vid, ty, n FROM lineitem JOIN nm ON pk = l_partkey),
  c AS (SELECT qid, vid, rk, CASE WHEN q.n = r.n THEN 0 WHEN (contains(q.n, r.n) OR contains(r.n, q.n)) AND least(length(q.n), length(r.n)) * 2 >= greatest(length(q.n), length(r.n))
-  AND NOT (starts_with(q.n, r.n) AND regexp_matches(substr(q.n, length(r.n)+1, 1), '[0-9]')) THEN 1 END step FROM q JOIN r USING (ty))
+  AND NOT (starts_with(q.n, r.n) AND regexp_matches(substr(q.n, length(r.n)+1, 1), '[0-9]')) THEN 1 END step FROM q JOIN r USING (qid, ty))
 SELECT qid AS query_id, vid AS video_id FROM c WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY step, rk, vid) = 1""")
 def ranked_search_resolve(spark, d):
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("type"), F.col("p_size").alias("rank"))
-    q = p.where("id % 7 = 0").select(F.col("id").alias("query_id"), "title", "type")
-    r = p.where("id % 7 <> 0").select(F.lit(1).alias("one"), F.col("id").alias("video_id"), F.substring(X.squash(F.col("title")), 1, 9).alias("title"), "type", "rank")
-    # every query sees the same results of its type, ranked by size
-    r = q.select("query_id", "type").join(r.drop("one"), "type")
-    return match.resolve_ranked(q, r)
+    """An order is a search for its least part, as it is called or in another edition; its lines are the ranked results."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("video_id"), F.col("p_name").alias("title"), F.col("p_type").alias("type"))
+    li = read(spark, d, "lineitem")
+    edition = F.when(F.col("query_id") % 3 == 1, " extended").when(F.col("query_id") % 3 == 2, " 2").otherwise("")
+    asked = li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.min("l_partkey").alias("video_id")).join(p, "video_id")
+    results = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("video_id")).join(p, "video_id")
+    return match.resolve_ranked(asked.select("query_id", F.concat("title", edition).alias("title"), "type"), results)
 
 
 @query(f"""WITH o AS (SELECT DISTINCT title_id, link, source FROM {OFFERS} WHERE region = 'A' AND service_id = '7' AND source = 'discovery'),
- v AS (SELECT o_orderkey vid, o_custkey % 50 m FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT CASE WHEN vid IS NULL THEN 'unresolved' WHEN m = 0 THEN 'review' WHEN m::VARCHAR = title_id THEN 'ok' ELSE 'move' END AS class, count(*) AS n
+ v AS (SELECT o_orderkey vid, p_partkey m FROM orders LEFT JOIN part ON p_partkey = o_custkey WHERE o_orderstatus <> 'P')
+SELECT CASE WHEN vid IS NULL THEN 'unresolved' WHEN m IS NULL THEN 'review' WHEN m::VARCHAR = title_id THEN 'ok' ELSE 'move' END AS class, count(*) AS n
 FROM o LEFT JOIN v ON '/title/' || vid = link GROUP BY 1""")
 def reconcile_classes(spark, d):
     own = as_watched(offers(spark, d)).select("title_id", "link", "source", "service_id", "region").distinct()
-    # a video is called after the customer's number, and titles 1 to 49 have those names
-    videos = read(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("video_id"), F.concat(F.lit("name "), F.col("o_custkey") % 50).alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
-    titles = read(spark, d, "part").where("p_partkey BETWEEN 1 AND 49").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), "p_partkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
-    out = audit.reconcile(own, titles.union(titles.limit(0)), videos)
+    # a video is called after the customer's number, and titles have numbers as names
+    videos = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("video_id"), F.concat(F.lit("name "), "o_custkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
+    titles = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), "p_partkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
+    out = audit.reconcile(own, titles, videos)
     return out.groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH f AS (SELECT title_id, bool_or(source='motn') feed, bool_or(source='discovery') found FROM {OFFERS} WHERE region='A' AND service_id='7' GROUP BY 1),
- b AS (SELECT event_id seq, CASE WHEN user_id % 60 BETWEEN 1 AND 49 THEN (user_id % 60)::VARCHAR END title_id FROM events),
+ b AS (SELECT event_id seq, p_partkey::VARCHAR title_id FROM events LEFT JOIN part ON p_partkey = user_id),
  x AS (SELECT b.*, feed, found, min(seq) OVER (PARTITION BY b.title_id) fs FROM b LEFT JOIN f USING (title_id))
 SELECT CASE WHEN title_id IS NULL THEN 'unmatched' WHEN coalesce(feed,false) THEN 'skipped' WHEN coalesce(found,false) OR seq <> fs THEN 'restamped' ELSE 'created' END AS outcome, count(*) AS n FROM x GROUP BY 1""")
 def discover_counts(spark, d):
-    titles = read(spark, d, "part").where("p_partkey BETWEEN 1 AND 49").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), "p_partkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
-    browse = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_id").alias("video_id"), F.concat(F.lit("name "), F.col("user_id") % 60).alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
+    titles = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), "p_partkey").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
+    browse = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_id").alias("video_id"), F.concat(F.lit("name "), "user_id").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("year"))
     return audit.discover(as_watched(offers(spark, d)), titles, browse).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
