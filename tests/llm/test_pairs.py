@@ -8,7 +8,7 @@ import pytest
 
 from weftline.llm.lines import _between_groups, dedup_lines
 from weftline.llm.minhash import grouped, near_duplicates
-from weftline.llm.shingles import band_keys, shingle_set, sketches
+from weftline.llm.shingles import band_keys, shingle_set, sketches, word_hashes
 from weftline.llm.vectors import near_vectors
 
 
@@ -53,6 +53,15 @@ def test_shingle_sets_count_like_tuples():
     assert len(shingle_set(None, 2)) == 0 and len(np.intersect1d(shingle_set("A b", 5), shingle_set("a B", 5))) == 1
 
 
+def test_words_that_a_plain_polynomial_confuses():
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len(np.unique(word_hashes(f"{a} {b}"))) == 2
+    assert len(shingle_set(f"{a} {b} {a} {a}", 2)) == 3
+    long = "x" * (1 << 24) + "y" * 10
+    assert len(np.unique(word_hashes(f"{long} {long} {long}z"))) == 2
+
+
 def test_sketches_are_full_and_estimate_the_similarity():
     rng = np.random.default_rng(4)
     for n in (1, 3, 40, 2000):
@@ -216,3 +225,23 @@ def test_vectors_of_a_large_dense_group(spark):
     assert 0.9 * close.sum() <= found <= close.sum()
     want = closure(range(n), [(int(np.flatnonzero(close[k])[0]), k) for k in range(n) if close[k].any()])
     assert all(got[k]["component_id"] == want[k] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [200, 2000])
+def test_vectors_planted_in_noise(spark, n):
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 48))
+    near = base[: n // 10] + 0.02 * rng.normal(size=(n // 10, 48))
+    rows = [(k, [float(v) for v in x], 1 if k % n < n // 2 else 2) for k, x in enumerate(np.concatenate((base, near)))]
+    rows += [(0, rows[0][1], 1), (None, rows[0][1], 1), (n + 7, rows[1][1], None)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["vec_id"], []).append(r)
+    pairs = [(k, n + k) for k in range(1, n // 10) if k != 7]
+    hit = sum(by_id[b][0]["component_id"] == a and by_id[b][0]["n_links"] == 1 for a, b in pairs)
+    assert hit >= 0.9 * len(pairs)
+    # a repeated row and one without an id are vectors of their own; ties go to the smallest id
+    assert [r["n_links"] for r in by_id[0]] == [3, 3] and by_id[None][0]["component_id"] == 0 and not by_id[None][0]["kept"]
+    assert sorted(r["n_links"] for r in by_id[n + 7]) == [0, 1]

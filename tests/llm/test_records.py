@@ -53,6 +53,17 @@ def test_topological_order(spark):
     assert all(r["level"] == 0 for (conv, _), r in got.items() if conv == 2)
 
 
+def test_long_chains_and_many_levels(spark):
+    n = 1500  # newest first, each call needs the one behind it
+    calls = [(1, k, f"c{k}", "add", "{}", [f"c{k + 1}"] if k < n - 1 else []) for k in range(n)]
+    calls += [(2, k, f"d{k}", "add", "{}", [f"d{k + 1}"]) for k in range(5)] + [(2, 5, "d5", "add", "{}", ["d3"]), (2, 6, "free", "add", "{}", [])]
+    calls += [(3, k, f"e{k}", "add", "{}", [f"e{k + 1}", f"e{k + 2}"] if k < 23 else []) for k in range(25)]
+    got = linked(spark, calls, [])
+    assert all(got[1, f"c{k}"]["level"] == n - 1 - k and "cycle" not in got[1, f"c{k}"]["errors"] for k in range(n))
+    assert all("cycle" in got[2, f"d{k}"]["errors"] and got[2, f"d{k}"]["level"] == 7 for k in range(6)) and got[2, "free"]["level"] == 0
+    assert [got[3, f"e{k}"]["level"] for k in range(25)] == [*range(23, 0, -1), 0, 0]
+
+
 def test_parsing_and_empty_tables(spark):
     text = '{"tool_calls":[{"id":"a","name":"f","arguments":{"b":1,"a":[2]}},{"name":"no id"}]}'
     rows = [(1, 0, text, "x"), (1, 1, '{"tool_call_id":"a","content":{"k":[1]}}', "x"), (1, 2, "plain", "x"), (1, 3, None, "x"), (1, 4, "{broken", "x"), (1, 5, "[]", "x"), (1, 6, "y" * 100_000, "x")]
@@ -98,3 +109,11 @@ def test_mined_rules_against_counts(spark):
     got = {r["page_id"]: (r["verdict"], r["mined"]) for r in filter_urls(pages, spark.createDataFrame(labelled, "url string, verdict string"), []).collect()}
     assert got[1] == ("block", "h:spam & p:en") and got[None] == got[1]
     assert got[2][0] == "allow" and got[2][1] and got[3] == ("allow", None)
+
+
+def test_ties_between_mined_rules(spark):
+    labelled = [(f"http://a.net/x/{k}", "block") for k in range(10)] + [(f"http://b.net/y/{k}", "allow") for k in range(10)]
+    pages = spark.createDataFrame([(1, "http://a.net/y/1"), (2, "http://a.net/y/1"), (3, "http://b.net/x/3"), (4, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["mined"]) for r in filter_urls(pages, spark.createDataFrame(labelled, "url string, verdict string"), []).collect()}
+    # equally sure, equally frequent and equally long: the first in the order of tokens
+    assert got == {1: ("block", "h:a"), 2: ("block", "h:a"), 3: ("allow", "h:b"), 4: ("allow", None)}

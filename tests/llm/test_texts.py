@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm.langid import identify_languages
+from weftline.llm.langid import identify_languages, normalise
 from weftline.llm.licenses import KNOWN, digest, known_licenses, scan_licenses
 from weftline.llm.quality import COUNTS, learn_rules, quality_rules, text_counts
 
@@ -97,3 +97,12 @@ def test_licences(spark):
     assert sorted(map(tuple, shuffled.collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
     assert scan_licenses(docs.limit(0), known_licenses(spark)).count() == 0
     assert spark.range(1).select(digest(F.lit("The  Licence"))).first()[0] == spark.range(1).select(digest(F.lit("the license."))).first()[0]
+
+
+def test_languages_of_texts_without_letters(spark):
+    assert [normalise(x) for x in (None, "", "½ ² ① 12 _", "́ !", "ABC½d", "नमस्ते 5")] == ["", "", "", "", "abc d", "नमस्ते"]
+    rows = [(k, "some english words here " * 3, "en") for k in range(9)] + [(9, "½ ②", "en"), (9, "½ ②", "en"), (None, None, "en"), (10, "more words", None)]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = identify_languages(docs, F.lit(False)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["lang_pred"]) for r in got} == {(k, "en") for k in range(9)} | {(9, "und"), (None, "und"), (10, "en")}

@@ -203,7 +203,7 @@ def pack(
     end_id: int = 2,
     with_ids: bool = False,
     tokenizer_path: str | None = None,
-    shares: int = 64,
+    shares: int | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if ``with_ids``).
 
@@ -212,13 +212,15 @@ def pack(
     packed by patterns of length classes of 8 ids: the histogram (at most capacity / 8
     rows, whatever the input) goes to the driver, column generation finds the patterns,
     and the ranked pieces of each class take the slots. Ranks come from ``shares``
-    hashed parts of every class with known offsets, so a class that holds a third of
+    hashed parts of every class (by default as many as a shuffle has partitions, between
+    64 and 1024) with known offsets, so a class that holds a third of
     all pieces is still ranked in parallel.
 
     Null and empty texts are the end id alone. Rows that repeat an id are packed each;
     null ids are kept. Other columns are ignored; an empty table gives an empty result.
     """
     size = capacity // UNIT
+    shares = shares or min(1024, max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     cut = pieces(own, capacity, end_id, with_ids, tokenizer_path)
     cut = cut.withColumn("class", F.ceil(F.col("length") / UNIT).cast("int"))

@@ -63,7 +63,7 @@ def describe(pivots: np.ndarray, nearest: int):
     return run
 
 
-def linked(threshold: float, least_shared: int, n_pivots: int):
+def linked(threshold: float, least_shared: int):
     """Links inside a pair of blocks of one pivot's list.
 
     A pair is judged in the list of its first shared pivot only, if it shares at least
@@ -76,11 +76,12 @@ def linked(threshold: float, least_shared: int, n_pivots: int):
         x = np.array([np.frombuffer(u, dtype=np.float64) for u in part["unit"]])
         close = x @ x.T >= threshold
         if pivot >= 0:
-            own = np.zeros((len(part), n_pivots), dtype=np.float32)
-            for k, p in enumerate(part["pivots"]):
-                own[k, p] = 1
-            few = min(least_shared, len(part["pivots"].iloc[0]))
-            close &= (own @ own.T >= few) & (own[:, :pivot] @ own[:, :pivot].T == 0)
+            lists = np.stack(part["pivots"].to_list())
+            met, column = np.unique(lists, return_inverse=True)  # only the pivots of this block have a column
+            own = np.zeros((len(part), len(met)), dtype=np.float32)
+            own[np.arange(len(part))[:, None], column.reshape(lists.shape)] = 1
+            before = own[:, met < pivot]
+            close &= (own @ own.T >= min(least_shared, lists.shape[1])) & (before @ before.T == 0)
         np.fill_diagonal(close, False)
         if part["i"].iloc[0] != part["j"].iloc[0]:
             side = part["side"].to_numpy()
@@ -118,7 +119,7 @@ def near_vectors(
     at least ``threshold``. Each vector is described by its ``nearest`` reference
     points in order; reference points are a bounded sample of the vectors themselves,
     without those near another (up to ``n_pivots``, by default twice the square root of
-    the row count between 64 and 4096). Vectors meet in the inverted list of every reference point near them and
+    the row count between 64 and 65,536, which a billion rows have). Vectors meet in the inverted list of every reference point near them and
     are compared if they share at least ``least_shared``; every vector is indexed and
     no list is cut: a long one is dealt into blocks of about ``block`` vectors, and
     each pair of blocks is one task's work, which returns counts and a spanning forest
@@ -134,7 +135,7 @@ def near_vectors(
     own = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("string").alias("label"))
     own = saved(own.withColumn("row", F.monotonically_increasing_id()))
     if n_pivots is None:
-        n_pivots = min(4096, max(64, round(2 * math.sqrt(own.count()))))
+        n_pivots = min(65_536, max(64, round(2 * math.sqrt(own.count()))))
     pivots = choose_pivots(own, n_pivots, threshold)
     index = own.where("label IS NOT NULL").mapInPandas(describe(pivots, nearest), "row long, label string, unit binary, pivots array<int>")
     index = saved(index.where("pivots IS NOT NULL"))
@@ -146,7 +147,7 @@ def near_vectors(
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lists = lists.select("row", "pivot", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") < F.col("other")).alias("side"))
     met = lists.join(index, "row")
-    found = saved(met.groupBy("label", "pivot", "i", "j").applyInPandas(linked(threshold, least_shared, len(pivots)), "row long, n long, to long"))
+    found = saved(met.groupBy("label", "pivot", "i", "j").applyInPandas(linked(threshold, least_shared), "row long, n long, to long"))
 
     groups = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")))
     n_links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
