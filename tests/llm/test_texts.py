@@ -1,7 +1,9 @@
 """Operators that judge each text by itself: quality rules, languages, licences."""
 
+import os
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -106,3 +108,23 @@ def test_languages_of_texts_without_letters(spark):
     got = identify_languages(docs, F.lit(False)).collect()
     assert len(got) == len(rows)
     assert {(r["doc_id"], r["lang_pred"]) for r in got} == {(k, "en") for k in range(9)} | {(9, "und"), (None, "und"), (10, "en")}
+
+
+def test_whole_licences_in_other_clothes(spark):
+    texts = {i: t for i, kind, t in KNOWN if kind == "text"}
+    folder = "/usr/share/common-licenses"
+    for i, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                texts[i] = f.read()
+    rows, want = [], {}
+    for k, (i, t) in enumerate(texts.items()):
+        reflowed = "Copyright (c) 2020 A. N. Other\n" + "\n".join(textwrap.wrap(" ".join(x for x in t.splitlines() if "copyright (" not in x.lower() and "(c)" not in x.lower()), 50)).replace("license", "licence")
+        for n, text in enumerate((t, t.upper(), f"{t}\nplus a word")):
+            rows.append((10 * k + n, text))
+            want[10 * k + n] = i if n < 2 else None
+        if "copyright" not in t.lower():
+            rows.append((10 * k + 3, reflowed))
+            want[10 * k + 3] = i
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, license_id string, digest string")
+    assert {r["doc_id"]: r["license_id"] for r in scan_licenses(docs, known_licenses(spark)).collect()} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..licenses import COPYRIGHT_LINE, KNOWN, PUNCTUATION, SPELLINGS
+from ..licenses import COPYRIGHT_LINE, DIGESTS, KNOWN, PUNCTUATION, SPELLINGS
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -20,9 +20,11 @@ def _digest(text: str) -> str:
     return f"CASE WHEN {clean} <> '' THEN sha256({clean}) END"
 
 
+_DIGESTS = ", ".join(f"({_Q(d)}, 'text', {_Q(i)})" for i, d in DIGESTS)
 _ROWS = ", ".join(f"({_Q(i)}, {_Q(k)}, {_Q(t)})" for i, k, t in KNOWN)
 
-OP3 = f"""WITH known AS (SELECT {_digest('t')} digest, kind, min(id) license_id FROM (VALUES {_ROWS}) v(id, kind, t) GROUP BY ALL),
+OP3 = f"""WITH known AS (SELECT {_digest('t')} digest, kind, min(id) license_id FROM (VALUES {_ROWS}) v(id, kind, t) GROUP BY ALL
+  UNION ALL SELECT * FROM (VALUES {_DIGESTS}) w(digest, kind, license_id)),
  d AS (SELECT row_number() OVER () r, doc_id, text, {_digest('text')} digest FROM documents),
  l AS (SELECT r, {_digest('line')} digest FROM (SELECT r, unnest(string_split(text, chr(10))) line FROM d)),
  n AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) notices, count(*) n FROM l JOIN known USING (digest) WHERE kind = 'notice' GROUP BY r)
