@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, last_name, names_agree, normalize_author, normalize_title
-from .graph import components
+from .graph import components, saved
 from .tables import join_null_safe
 
 ITEM_TYPE = "seq long, title string, author string, year int, isbn13s array<string>, cover_url string, description string"
@@ -175,38 +175,88 @@ def ingest_items(items: DataFrame, works: DataFrame, editions: DataFrame) -> Dat
     return alone.union(folded).withColumn("created", F.col("step") == "new")
 
 
+class _Known:
+    """Works of a component, found by ISBN, key and title without going through them."""
+
+    def __init__(self) -> None:
+        self.works: dict[int, dict] = {}
+        self.by_isbn: dict[str, dict[int, None]] = {}
+        self.by_key: dict[str, int] = {}
+        self.by_title: dict[str, list[int]] = {}
+
+    def add(self, work: int, isbns, title: str | None, last: str | None, key: str | None) -> None:
+        self.works[work] = {"last": last, "key": None}
+        self.put(work, isbns, key)
+        if title:
+            self.by_title.setdefault(title, []).append(work)
+
+    def put(self, work: int, isbns, key: str | None) -> None:
+        for isbn in isbns:
+            self.by_isbn.setdefault(isbn, {})[work] = None
+        if key is not None:
+            self.works[work]["key"] = key
+            self.by_key.setdefault(key, work)
+
+
 def _fold(part: pd.DataFrame) -> pd.DataFrame:
     """Resolves one component's items in order."""
-    known: dict[int, dict] = {}
+    text = lambda x: None if pd.isna(x) else x
+    listed = lambda x: [i for i in (x if x is not None else []) if i]
+    known = _Known()
     for r in part[part["seq"].isna()].sort_values("work").itertuples():
-        known[int(r.work)] = {"isbns": list(r.isbn13s if r.isbn13s is not None else []), "title": r.norm_title, "last": None if pd.isna(r.last) else r.last, "key": None if pd.isna(r.work_key) else r.work_key}
+        known.add(int(r.work), listed(r.isbn13s), r.norm_title, text(r.last), text(r.work_key))
     out = []
     for r in part[part["seq"].notna()].sort_values("seq").itertuples():
-        isbns = [x for x in (r.isbn13s if r.isbn13s is not None else []) if x]
-        last = None if pd.isna(r.last) else r.last
-        step, hits = "isbn", [w for w, x in known.items() if set(isbns) & set(x["isbns"])]
+        isbns, last = listed(r.isbn13s), text(r.last)
+        step, hits = "isbn", list(dict.fromkeys(w for i in isbns for w in known.by_isbn.get(i, ())))
         # an edition is only looked up where the ISBNs gave no work with a key
-        keyed = len(hits) > 1 or bool(hits and known[hits[0]]["key"])
-        key = None if keyed or pd.isna(r.work_key) else r.work_key
-        isbns += [x for x in (r.more if key and r.more is not None else []) if x not in isbns]
-        if not hits and key:
-            step, hits = "work_key", [w for w, x in known.items() if x["key"] == key][:1]
+        keyed = len(hits) > 1 or bool(hits and known.works[hits[0]]["key"])
+        key = None if keyed else text(r.work_key)
+        isbns += listed(r.more) if key else []
+        if not hits and key in known.by_key:
+            step, hits = "work_key", [known.by_key[key]]
         if not hits and r.norm_title:
-            agree = lambda x: x["last"] is None or last is None or x["last"] == last
-            step, hits = "title_author", [w for w, x in known.items() if x["title"] == r.norm_title and agree(x)]
+            agree = lambda own: own is None or last is None or own == last
+            step, hits = "title_author", [w for w in known.by_title.get(r.norm_title, ()) if agree(known.works[w]["last"])]
         if len(hits) > 1:
             out.append((int(r.seq), None, f"ambiguous_{step}"))
             continue
         if hits:
             work = hits[0]
-            x = known[work]
-            x["isbns"] += [i for i in isbns if i not in x["isbns"]]
-            x["last"] = x["last"] or last
+            known.works[work]["last"] = known.works[work]["last"] or last
         else:
             step, work = "new", -1 - int(r.seq)
-            x = known[work] = {"isbns": isbns, "title": r.norm_title, "last": last, "key": None}
+            known.add(work, (), r.norm_title, last, None)
         # a key is stamped only while no other work holds it
-        if key and x["key"] is None and not any(y["key"] == key for y in known.values()):
-            x["key"] = key
+        known.put(work, isbns, key if known.works[work]["key"] is None and key not in known.by_key else None)
         out.append((int(r.seq), work, step))
     return pd.DataFrame(out, columns=["seq", "work", "step"]).astype({"seq": "int64", "work": "Int64"})
+
+
+def ingest_batch(items: DataFrame, works: DataFrame, editions: DataFrame, memberships: DataFrame) -> dict[str, DataFrame]:
+    """What a batch of items leaves behind: assigned, works, ages, memberships and ambiguous.
+
+    ``items`` has (seq, title, author, year, isbn13s, cover_url, description, min_age,
+    list_source, list_key, as_of_date), ``works`` (work, title, author, year, isbn13s,
+    cover_url, description, work_key, min_age, min_age_source), ``memberships`` (work,
+    list_source, list_key, as_of_date). ``assigned`` is the result of ``ingest_items``;
+    works are merged with their items, a stored work first; of ages the best source's
+    counts and of a list's memberships the newest. ``ambiguous`` (seq, title,
+    list_source, step) are the items that fit several works and leave nothing else.
+    """
+    assigned = saved(ingest_items(items.select("seq", "title", "author", "isbn13s"), works.select("work", "title", "author", "isbn13s", "work_key"), editions))
+    own = items.join(assigned.select("seq", "work", "step"), "seq")
+    found = own.where("work IS NOT NULL")
+    facts = ["title", "author", "year", "isbn13s", "cover_url", "description"]
+    stored = F.lit(-1).cast("long").alias("seq")
+    merged = merge_works(works.select("work", stored, *facts).union(found.select("work", "seq", *facts)))
+    ages = works.select("work", stored, "min_age", "min_age_source").union(found.select("work", "seq", "min_age", F.col("list_source").alias("min_age_source")))
+    listed = ["work", "list_source", "list_key", "as_of_date"]
+    member = memberships.select(*listed, stored).union(found.where("list_key IS NOT NULL").select(*listed, "seq"))
+    return {
+        "assigned": assigned,
+        "works": merged,
+        "ages": ranked_value(ages, "work", "min_age", "min_age_source", "seq"),
+        "memberships": newest_wins(member, ["work", "list_source", "list_key"], "as_of_date", "seq").select(*listed),
+        "ambiguous": own.where("work IS NULL").select("seq", "title", "list_source", "step"),
+    }

@@ -312,3 +312,32 @@ def edition_key_match(spark, d):
     items = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(lists.alias("isbn13s"))
     editions = read(spark, d, "part").where("p_size > 25").select(_key().alias("isbn"), F.concat(F.lit("K"), F.col("p_size").cast("string")).alias("work_key"))
     return works.edition_keys(items, editions)
+
+
+@query("""WITH i AS (SELECT o_orderkey seq, CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_custkey END work, o_orderpriority a, year(o_orderdate) y, o_orderkey % 15 age, CASE WHEN o_orderstatus = 'F' THEN 'nyt' ELSE 'wkar' END src,
+  o_orderpriority key, o_orderdate::DATE dt FROM orders),
+ w AS (SELECT c_custkey work, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END a FROM customer),
+ ids AS (SELECT work FROM w UNION SELECT work FROM i),
+ m AS (SELECT work, arg_min(a, seq) a, arg_min(y, seq) y, string_agg('o' || seq, ',' ORDER BY seq) o, arg_max(age, (CASE src WHEN 'wkar' THEN 2 ELSE 1 END, seq)) age, arg_max(src, (CASE src WHEN 'wkar' THEN 2 ELSE 1 END, seq)) src FROM i GROUP BY 1),
+ l AS (SELECT work, count(*) lists, max(dt) newest FROM (SELECT work, src, key, max(dt) dt FROM i GROUP BY ALL) GROUP BY 1)
+SELECT work, coalesce(w.a, m.a) AS author, m.y AS year, concat_ws(',', CASE WHEN work >= 0 THEN 'b' || work END, o) AS isbns, age AS min_age, src AS min_age_source, lists, strftime(newest, '%Y-%m-%d') AS newest
+FROM ids LEFT JOIN w USING (work) LEFT JOIN m USING (work) LEFT JOIN l USING (work)""")
+def book_ingest(spark, d):
+    """Orders as items of customers' works: each names its work by ISBN, but for those that make a work of their own."""
+    none = F.lit(None).cast("string")
+    new = F.col("o_orderstatus") == "P"
+    items = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit("order "), "o_orderkey").alias("title"), F.col("o_orderpriority").alias("author"), F.year("o_orderdate").alias("year"),
+        F.when(new, F.array(F.concat(F.lit("o"), "o_orderkey"))).otherwise(F.array(F.concat(F.lit("b"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey"))).alias("isbn13s"), none.alias("cover_url"), none.alias("description"),
+        (F.col("o_orderkey") % 15).cast("int").alias("min_age"), F.when(F.col("o_orderstatus") == "F", "nyt").otherwise("wkar").alias("list_source"), F.col("o_orderpriority").alias("list_key"), F.to_date("o_orderdate").alias("as_of_date"),
+    )
+    held = read(spark, d, "customer").select(
+        F.col("c_custkey").alias("work"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("author"), F.lit(None).cast("int").alias("year"), F.array(F.concat(F.lit("b"), "c_custkey")).alias("isbn13s"),
+        none.alias("cover_url"), none.alias("description"), none.alias("work_key"), F.lit(None).cast("int").alias("min_age"), none.alias("min_age_source"),
+    )
+    editions = spark.createDataFrame([], "isbn string, work_key string, isbn13s array<string>")
+    listed = spark.createDataFrame([], "work long, list_source string, list_key string, as_of_date date")
+    out = works.ingest_batch(items, held, editions, listed)
+    lists = out["memberships"].groupBy("work").agg(F.count("*").alias("lists"), F.date_format(F.max("as_of_date"), "yyyy-MM-dd").alias("newest"))
+    rows = out["works"].join(out["ages"], "work", "left").join(lists, "work", "left")
+    return rows.select("work", "author", "year", F.array_join("isbn13s", ",").alias("isbns"), "min_age", "min_age_source", "lists", "newest")
