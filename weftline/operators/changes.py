@@ -123,6 +123,12 @@ def apply_changes(offers: DataFrame, changes: DataFrame, payloads: DataFrame, op
     return done.union(offers.where(~F.coalesce(F.col("region") == region, no)))
 
 
+def with_shows(changes: DataFrame, shows: DataFrame) -> DataFrame:
+    """The changes with ``has_show``: whether their page brought the show along; ``changes(page, title_id, ...)``, ``shows(page, title_id, ...)``."""
+    known = shows.select("page", "title_id").distinct().withColumn("has_show", F.lit(True))
+    return changes.join(known, ["page", "title_id"], "left").withColumn("has_show", F.coalesce("has_show", F.lit(False))).select(*changes.columns, "has_show")
+
+
 def change_counts(changes: DataFrame, failed: Column | None = None) -> DataFrame:
     """(kind, n, failures): the changes seen of every kind, with or without a show, and how many of them meet the condition ``failed``."""
     failed = F.lit(False) if failed is None else failed

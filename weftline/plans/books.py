@@ -167,7 +167,9 @@ def props_flatten(spark, d):
 SELECT k::VARCHAR AS key, q AS seq, dy AS day FROM n WHERE nq IS NULL OR q >= nq QUALIFY row_number() OVER (PARTITION BY k ORDER BY dy DESC NULLS LAST, q DESC) = 1""")
 def stream_newest_wins(spark, d):
     """The stream form over the orders as they land, read back from its sink: the last row of every key."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, streams.ROCKSDB)
     schema = spark.read.parquet(f"{d}/orders.parquet").schema
     rows = spark.readStream.schema(schema).parquet(_stream_dir(d, "orders")).select(
         F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") != "P", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")).alias("day")
@@ -177,8 +179,11 @@ def stream_newest_wins(spark, d):
     def keep(batch, n):
         batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
 
-    q = streams.newest_wins_stream(rows).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        q = streams.newest_wins_stream(rows).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
     done = spark.read.schema("key string, seq long, day double, batch int").parquet(out)
     return done.groupBy("key").agg(F.max_by(F.struct("seq", "day"), "batch").alias("r")).select("key", "r.*")
 

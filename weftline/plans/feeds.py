@@ -137,6 +137,19 @@ def change_run_counts(spark, d):
     return changes.change_counts(rows, failed=F.col("title_id").isNull())
 
 
+@query("""SELECT e.event_id AS seq, user_id::VARCHAR AS title_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS ts, p_partkey IS NOT NULL AS has_show FROM events e LEFT JOIN part ON p_partkey = user_id AND p_size > 25""")
+def change_show_lookup(spark, d):
+    """Events as the changes of a page each, which brings the show along if the user's number is that of a large part."""
+    e = read(spark, d, "events")
+    known = read(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("user_id"), F.lit(True).alias("large"))
+    change = _named(showId=F.col("user_id").cast("string"), timestamp=F.unix_timestamp(F.col("ts").cast("timestamp")), streamingOptionType=F.lit("subscription"))
+    shows = F.create_map(F.when(F.col("large"), F.col("user_id").cast("string")).otherwise("other"), _named(title=F.lit("a show")))
+    body = e.join(known, "user_id", "left").select(F.col("event_id").cast("string").alias("page"), _json(changes=F.array(change), shows=shows).alias("body"))
+    pages = body.select("page", F.from_json("body", landed.PAGE_TYPE).alias("v")).select("page", "v.*")
+    out = changes.with_shows(landed.flatten_changes(pages), landed.flatten_shows(pages))
+    return out.select(F.col("page").cast("long").alias("seq"), "title_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "has_show")
+
+
 # Review pages, lists, volumes and editions
 
 

@@ -68,8 +68,10 @@ def newest_wins_stream(rows: DataFrame) -> DataFrame:
     """(key, seq, day) of a stream of rows(key, seq, day): after each batch the row that holds for every key it touched.
 
     ``day`` is a number (null: undated). The state is one row a key, and rows out of
-    order are weighed by their seq, so the outcome doesn't depend on arrival. Needs the
-    RocksDB state store.
+    order are weighed by their seq, so the outcome doesn't depend on arrival. It holds
+    the rows that could still win if a late undated one came: those later in date than
+    all that follow them, a few where dates rise with seq; keys are never dropped.
+    Needs the RocksDB state store.
     """
     return rows.groupBy("key").transformWithStateInPandas(_Newest(), outputStructType="key string, seq long, day double", outputMode="update", timeMode="none")
 
