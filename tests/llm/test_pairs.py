@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from weftline.llm.lines import _between_groups, dedup_lines
+from weftline.llm.lines import _between_groups, _with_the_largest, dedup_lines
 from weftline.llm.minhash import grouped, near_duplicates
 from weftline.llm.shingles import band_keys, shingle_set, sketches, word_hashes
 from weftline.llm.vectors import near_vectors
@@ -157,12 +157,20 @@ def test_lines_longer_than_the_exact_comparison(spark):
     assert {r["doc_id"]: r["lines"]["n_kept"] for r in out.collect()} == {1: 1, 2: 0, 3: 1}
 
 
+def test_groups_of_a_wide_bucket(spark):
+    placed = [(1, h, 50, 7 if h < 30 else h) for h in range(40)] + [(2, h, 50, h) for h in range(5)] + [(3, h, 50, 3) for h in range(60)]
+    got = [tuple(r) for r in _with_the_largest(spark.createDataFrame(placed, "key long, h long, size int, own long"), 32).collect()]
+    assert {(b, own, own2) for _, b, own, own2 in got} == {(h, h, 7) for h in range(30, 40)} and all(a < 30 for a, *_ in got)
+    assert 20 <= len(got) <= 30
+
+
 def test_pairs_between_groups_are_complete(spark):
     rng = random.Random(2)
-    placed = [(key, h, h % groups) for key, groups in ((1, 5), (2, 1), (3, 40)) for h in rng.sample(range(1000), 60)]
-    got = [tuple(r) for r in _between_groups(spark.createDataFrame(placed, "key long, h long, own long"), 7).collect()]
-    want = {(a, b, x, y) for k, a, x in placed for q, b, y in placed if k == q and x < y}
-    assert len(got) == len(set(got)) and set(got) == want
+    size = {h: rng.randint(20, 200) for h in range(1000)}
+    placed = [(key, h, size[h], h % groups) for key, groups in ((1, 5), (2, 1), (3, 40)) for h in rng.sample(range(1000), 60)]
+    got = [tuple(r) for r in _between_groups(spark.createDataFrame(placed, "key long, h long, size int, own long"), 7).collect()]
+    want = {(a, b, x, y) for k, a, m, x in placed for q, b, n, y in placed if k == q and x < y and 5 * min(m, n) >= 4 * max(m, n)}
+    assert want and len(got) == len(set(got)) and set(got) == want
 
 
 @pytest.mark.parametrize("words", [10, 20, 50])
