@@ -25,10 +25,10 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The frame written once to the shared folder and read back: cuts lineage and outlives lost executors."""
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
