@@ -84,3 +84,15 @@ OP10 = r"""WITH p0 AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THE
  rules(rule, rh, rp, rv) AS (VALUES ('org/','org','/','allow'), ('example.org/es/','example.org','/es/','block'), ('example.org/en/1','example.org','/en/1','block'), ('com/fr/','com','/fr/','allow'), ('com/de/','com','/de/','block')),
  st AS (SELECT r, arg_max(rule, length(rule)) rule, arg_max(rv, length(rule)) rv FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(rv, v, 'allow') AS verdict, CASE WHEN rv IS NULL THEN m END AS mined FROM p LEFT JOIN st USING (r) LEFT JOIN best USING (r)"""
+
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s) WHERE rank <= 20"""
+
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u, sha256('7:' || doc_id) h FROM documents),
+ n AS (SELECT *, len(u) n, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) r FROM d),
+ c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) a, greatest(r[1] % (n + 1), r[2] % (n + 1)) b,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END form FROM n),
+ p AS (SELECT *, array_to_string(u[1:a], '') prefix, array_to_string(u[a + 1:b], '') middle, array_to_string(u[b + 1:], '') suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""

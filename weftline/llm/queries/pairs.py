@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..common import table
 from ..lines import dedup_lines
+from ..maxscore import top_products
 from ..minhash import near_duplicates
 from ..vectors import near_vectors
-from .oracles import OP5, OP9
+from .oracles import OP5, OP9, OP11
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +26,9 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op6_line_dedup, op9_embedding_near_dedup)}
-SQL = {"op5_minhash_near_dedup": OP5, "op9_embedding_near_dedup": OP9}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op6_line_dedup, op9_embedding_near_dedup, op11_exact_top_k)}
+SQL = {"op5_minhash_near_dedup": OP5, "op9_embedding_near_dedup": OP9, "op11_exact_top_k": OP11}
