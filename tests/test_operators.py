@@ -262,11 +262,53 @@ def test_enrichment(spark):
 
 
 def test_editions_collide(spark):
-    own = spark.createDataFrame([(1, None, ["a"], None), (2, None, ["b"], "c"), (3, "K9", [], None), (4, None, ["d"], None)], "work int, work_key string, isbn13s array<string>, cover_url string")
-    editions = spark.createDataFrame([("a", "K1", ["a", "z"], "u"), ("b", "K1", ["b"], "u"), ("d", "K9", ["d"], "u")], "isbn string, work_key string, isbn13s array<string>, cover_url string")
+    own = spark.createDataFrame([(1, None, ["a"], None), (2, None, ["b"], "c"), (3, "K9", [], None), (4, None, ["d"], None), (5, "K1x", ["999"], None), (6, "none", None, None)], "work int, work_key string, isbn13s array<string>, cover_url string")
+    editions = spark.createDataFrame([("a", "K1", ["a", "z"], "u"), ("b", "K1", ["b"], "u"), ("d", "K9", ["d"], "u"), ("999", "other", ["never"], "never")], "isbn string, work_key string, isbn13s array<string>, cover_url string")
     out, lost = enrich.stamp_editions(own, editions)
-    assert rows(out) == [(1, "K1", ["a", "z"], "u"), (2, None, ["b"], "c"), (3, "K9", [], None), (4, None, ["d"], "u")]
+    assert rows(out.where("work < 5")) == [(1, "K1", ["a", "z"], "u"), (2, None, ["b"], "c"), (3, "K9", [], None), (4, None, ["d"], "u")]
     assert rows(lost) == [(2, "K1"), (4, "K9")]
+    # a work with a key takes what the key's first two pages hold, whatever its own ISBNs are
+    listed = [("K1x", 0, 0, ["111"], None), ("K1x", 0, 1, ["222", None, "111"], "cover"), ("K1x", 1, 0, ["999", "333"], "late"), ("K1x", 2, 0, ["444"], "later"), ("K1", 0, 0, ["y"], "w"), (None, 0, 0, ["q"], "q")]
+    out, _ = enrich.stamp_editions(own, editions, spark.createDataFrame(listed, "work_key string, page int, pos int, isbn13s array<string>, cover_url string"))
+    assert rows(out) == [(1, "K1", ["a", "z", "y"], "u"), (2, None, ["b"], "c"), (3, "K9", [], None), (4, None, ["d"], "u"), (5, "K1x", ["999", "111", "222", "333"], "cover"), (6, "none", [], None)]
+
+
+def walk_plainly(pages, lists, budget, limit=None, resume=None):
+    """The run as a loop over pages, one call at a time."""
+    calls, fetched, out = 0, 0, []
+    names = lists[[n for n in lists].index(resume[0]) :] if resume else lists
+    for name in names:
+        own = {p: q for n, p, q in pages if n == name}
+        at, first = (resume[1] if resume and name == resume[0] else max(own, default=None)), True
+        while at is not None or first:
+            if calls >= budget or (limit is not None and fetched >= limit):
+                return out, [(name, at, calls)]
+            out.append((name, at, calls, at in own))
+            calls, first = calls + 1, False
+            if at not in own:
+                break
+            fetched += 1
+            at = own[at] if own[at] is not None and own[at] < at else None
+    return out, []
+
+
+def test_chain_walk(spark):
+    kind, names = "list string, published int, previous int", spark.createDataFrame([("b", 1), ("a", 2), ("empty", 3), ("c", 4)], "list string, seq int")
+    pages = [("a", 10, 8), ("a", 9, 7), ("a", 8, 6), ("a", 6, None), ("b", 5, 4), ("b", 4, 1), ("b", 3, 2), ("b", 2, None), ("c", 9, 9), ("c", 8, 1)]
+    df = spark.createDataFrame([*pages, ("x", 1, None), (None, 1, None), ("a", None, 3)], kind)
+    walk, _ = enrich.chain_walk(df.where("list = 'a'"), names.where("list = 'a'"), 99)
+    assert {r["published"] for r in walk.collect()} == {10, 8, 6}
+    for budget, limit, resume in ((0, None, None), (3, None, None), (50, None, None), (7, 5, None), (50, 6, ("b", 4)), (4, None, ("a", 9)), (50, None, ("a", 77))):
+        walk, stop = enrich.chain_walk(df, names, budget, limit, resume)
+        want, end = walk_plainly(pages, ["b", "a", "empty", "c"], budget, limit, resume)
+        assert sorted(map(str, map(tuple, walk.collect()))) == sorted(map(str, want)), (budget, limit, resume)
+        assert [tuple(r) for r in stop.collect()] == end
+
+
+def test_a_long_chain(spark):
+    long = spark.range(3000).selectExpr("'l' list", "cast(id AS int) published", "cast(CASE WHEN id % 2 = 1 THEN id - 2 WHEN id > 0 THEN id - 1 END AS int) previous")
+    walk, stop = enrich.chain_walk(long, spark.createDataFrame([("l", 0)], "list string, seq int"), 1000)
+    assert walk.count() == 1000 and walk.agg(F.min("published")).first()[0] == 2999 - 2 * 999 and tuple(stop.first()) == ("l", 999, 1000)
 
 
 def offer(title, link="n/title/1", source="discovery", service="netflix", region="US", kind="subscription", quality=None, start=None, end=None):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -113,14 +114,24 @@ def budgeted_prefix(spark, d):
     return enrich.budgeted_prefix(rows, "o_orderkey", "calls", rows.count()).select("o_orderkey", "spent_before")
 
 
-@query("""WITH p AS (SELECT DISTINCT o_orderpriority l, o_orderdate::DATE dt FROM orders), c AS (SELECT l, dt, lag(dt) OVER (PARTITION BY l ORDER BY dt) pv FROM p),
- b AS (SELECT l, dt, CASE WHEN day(dt) = 13 THEN NULL ELSE pv END pv FROM c), g AS (SELECT *, row_number() OVER w n, CASE WHEN row_number() OVER w > 1 AND lag(pv) OVER w IS DISTINCT FROM dt THEN 1 ELSE 0 END gap FROM b WINDOW w AS (PARTITION BY l ORDER BY dt DESC)),
- s AS (SELECT *, sum(gap) OVER (PARTITION BY l ORDER BY dt DESC) gaps FROM g) SELECT l AS list, strftime(dt, '%Y-%m-%d') AS published FROM s WHERE n <= 450 AND gaps = 0""")
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT o_orderpriority l, o_orderdate::DATE dt FROM orders),
+ p AS (SELECT l, dt, CASE WHEN year(dt) = 1992 AND month(dt) = 2 AND l < '3' THEN DATE '1990-01-01' WHEN year(dt) = 1993 AND month(dt) = 3 AND l > '4' THEN NULL ELSE coalesce(lag(dt, 1 + day(dt)::INT % 3) OVER (PARTITION BY l ORDER BY dt), dt) END pv FROM d),
+ w(l, dt, pos, found) AS (SELECT l, max(dt), 0, true FROM p GROUP BY l UNION ALL SELECT w.l, p.pv, pos + 1, EXISTS (SELECT 1 FROM p q WHERE q.l = p.l AND q.dt = p.pv) FROM w JOIN p ON p.l = w.l AND p.dt = w.dt AND p.pv < p.dt),
+ c AS (SELECT *, row_number() OVER (ORDER BY l DESC, pos) - 1 call, count(*) FILTER (found) OVER (ORDER BY l DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before FROM w)
+SELECT l AS list, strftime(dt, '%Y-%m-%d') AS published, call, found, call < 3600 AND before < 3500 AS made FROM c WHERE call < 3600 AND before < 3500
+UNION ALL (SELECT l, strftime(dt, '%Y-%m-%d'), call, NULL, false FROM c WHERE NOT (call < 3600 AND before < 3500) ORDER BY call LIMIT 1)""")
 def chain_walk(spark, d):
+    """Days with orders as pages of their priority's list; pointers skip up to two pages, some lead nowhere. The run ends in the midst of a list, at the row that isn't made."""
     pages = read(spark, d, "orders").select(F.col("o_orderpriority").alias("list"), F.to_date("o_orderdate").alias("published")).distinct()
-    pages = pages.withColumn("previous", F.expr("lag(published) OVER (PARTITION BY list ORDER BY published)"))
-    pages = pages.withColumn("previous", F.when(F.dayofmonth("published") != 13, F.col("previous")))
-    return enrich.chain_walk(pages, ["list"], "published", "previous", 450).select("list", F.date_format("published", "yyyy-MM-dd").alias("published"))
+    earlier = [F.lag("published", k).over(Window.partitionBy("list").orderBy("published")) for k in (1, 2, 3)]
+    month = F.date_format("published", "yyyy-MM")
+    previous = F.get(F.array(*earlier), F.dayofmonth("published") % 3)
+    previous = F.when((month == "1992-02") & (F.col("list") < "3"), F.lit("1990-01-01").cast("date")).when((month == "1993-03") & (F.col("list") > "4"), None).otherwise(previous)
+    pages = pages.withColumn("previous", previous)
+    lists = pages.select("list", (-F.substring("list", 1, 1).cast("int")).alias("seq")).distinct()
+    walk, stop = enrich.chain_walk(pages, lists, budget=3600, limit=3500)
+    rows = walk.withColumn("made", F.lit(True)).unionByName(stop.withColumns({"found": F.lit(None).cast("boolean"), "made": F.lit(False)}))
+    return rows.withColumn("published", F.date_format("published", "yyyy-MM-dd"))
 
 
 @query("""WITH recent AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 50),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -248,15 +248,27 @@ def pending_rows(spark, d):
 # Enrichment and repair
 
 
-@query("""WITH e AS (SELECT l_partkey::VARCHAR isbn, 'K' || min(l_suppkey) k, 'c' || min(l_suppkey) c FROM lineitem GROUP BY 1), w AS (SELECT p_partkey work, CASE WHEN p_size > 25 THEN 'K' || (p_partkey + 100000) END k, CASE WHEN p_partkey % 3 = 0 THEN 'own' END c FROM part),
- f AS (SELECT work, w.k, w.c, e.k ek, e.c ec FROM w LEFT JOIN e ON isbn = work::VARCHAR), first AS (SELECT ek, min(work) work FROM f WHERE k IS NULL AND ek IS NOT NULL GROUP BY 1)
-SELECT f.work, coalesce(f.k, CASE WHEN first.work = f.work THEN f.ek END) AS work_key, f.work::VARCHAR || CASE WHEN f.ek IS NOT NULL THEN ',more' || f.ek ELSE '' END AS isbns, coalesce(f.c, f.ec) AS cover_url FROM f LEFT JOIN first ON first.ek = f.ek""")
+@query("""WITH e AS (SELECT l_partkey::VARCHAR isbn, 'K' || min(l_suppkey) k, 'c' || min(l_suppkey) c FROM lineitem GROUP BY 1),
+ w AS (SELECT p_partkey work, CASE WHEN p_size > 25 THEN 'K' || (p_partkey % 200) || CASE WHEN p_partkey > 200 THEN 'x' ELSE '' END END k, CASE WHEN p_partkey % 3 = 0 THEN 'own' END c FROM part),
+ f AS (SELECT work, w.k, w.c, e.k ek, e.c ec FROM w LEFT JOIN e ON w.k IS NULL AND isbn = work::VARCHAR),
+ first AS (SELECT ek, min(work) work FROM f WHERE ek IS NOT NULL AND ek NOT IN (SELECT k FROM w WHERE k IS NOT NULL) GROUP BY 1),
+ s AS (SELECT f.*, coalesce(f.k, CASE WHEN first.work = f.work THEN f.ek END) key FROM f LEFT JOIN first ON first.ek = f.ek),
+ l AS (SELECT 'K' || l_suppkey k, l_orderkey o, l_linenumber n, CASE WHEN l_linenumber = 3 THEN 'p' || l_orderkey END c, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) r FROM lineitem),
+ g AS (SELECT k, string_agg('o' || o, ',' ORDER BY m) isbns FROM (SELECT k, o, min(r) m FROM l WHERE r <= 6 GROUP BY 1, 2) GROUP BY 1), h AS (SELECT k, arg_min(c, r) c FROM l WHERE r <= 6 AND c IS NOT NULL GROUP BY 1)
+SELECT work, key AS work_key, concat_ws(',', work::VARCHAR, 'more' || ek, g.isbns) AS isbns, coalesce(s.c, ec, h.c) AS cover_url FROM s LEFT JOIN g ON g.k = key LEFT JOIN h ON h.k = key""")
 def edition_pass(spark, d):
-    """Parts as works, some with a key and a cover: editions give keys to those without, ISBNs and covers to all."""
-    e = read(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("isbn")).agg(F.min("l_suppkey").cast("string").alias("s"))
+    """Parts as works, some with a key and a cover: editions give keys to those without; keys, old and new, give the ISBNs and the cover of their first two pages of three editions."""
+    li = read(spark, d, "lineitem")
+    e = li.groupBy(F.col("l_partkey").cast("string").alias("isbn")).agg(F.min("l_suppkey").cast("string").alias("s"))
     editions = e.select("isbn", F.concat(F.lit("K"), "s").alias("work_key"), F.array(F.concat(F.lit("moreK"), "s")).alias("isbn13s"), F.concat(F.lit("c"), "s").alias("cover_url"))
-    held = read(spark, d, "part").select(F.col("p_partkey").alias("work"), F.when(F.col("p_size") > 25, F.concat(F.lit("K"), (F.col("p_partkey") + 100000).cast("string"))).alias("work_key"), F.array(_key()).alias("isbn13s"), F.when(F.col("p_partkey") % 3 == 0, "own").alias("cover_url"))
-    return enrich.stamp_editions(held, editions)[0].select("work", "work_key", F.array_join("isbn13s", ",").alias("isbns"), "cover_url")
+    own_key = F.concat(F.lit("K"), (F.col("p_partkey") % 200).cast("string"), F.when(F.col("p_partkey") > 200, "x").otherwise(""))
+    held = read(spark, d, "part").select(F.col("p_partkey").alias("work"), F.when(F.col("p_size") > 25, own_key).alias("work_key"), F.array(_key()).alias("isbn13s"), F.when(F.col("p_partkey") % 3 == 0, "own").alias("cover_url"))
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    listings = li.select(
+        F.concat(F.lit("K"), F.col("l_suppkey").cast("string")).alias("work_key"), F.floor(nth / 3).alias("page"), (nth % 3).alias("pos"), F.array(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("isbn13s"),
+        F.when(F.col("l_linenumber") == 3, F.concat(F.lit("p"), F.col("l_orderkey").cast("string"))).alias("cover_url"),
+    )
+    return enrich.stamp_editions(held, editions, listings)[0].select("work", "work_key", F.array_join("isbn13s", ",").alias("isbns"), "cover_url")
 
 
 @query("""WITH w AS (SELECT DISTINCT o_custkey k FROM orders WHERE o_orderstatus = 'P') SELECT c_custkey::VARCHAR AS title_id, CASE WHEN k IS NOT NULL AND c_custkey % 5 <> 0 THEN TIMESTAMP '2000-01-01' END AS deleted_at FROM customer LEFT JOIN w ON k = c_custkey""")
