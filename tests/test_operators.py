@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.operators import audit, changes, enrich, graph, match, reports, tables, works
+from weftline.operators import audit, changes, enrich, graph, ingest, match, reports, tables, works
 
 
 def rows(df, *columns):
@@ -239,10 +239,58 @@ def test_ingest_against_a_fold(spark):
             items.append((seq, name(), who(), list(dict.fromkeys(isbn(3)))))
             seq += 1
     want = fold_items(items, stored, editions)
-    got = works.ingest_items(spark.createDataFrame(items, ITEM), spark.createDataFrame(stored, WORK), spark.createDataFrame([(i, k, m) for i, (k, m) in editions.items()], EDITION))
+    got = ingest.ingest_items(spark.createDataFrame(items, ITEM), spark.createDataFrame(stored, WORK), spark.createDataFrame([(i, k, m) for i, (k, m) in editions.items()], EDITION))
     assert {r["seq"]: (r["work"], r["step"]) for r in got.collect()} == want
 
 
+def test_ingest_of_large_components(spark):
+    """A third of all items under one title, chains in which each item joins the work of the one before, all against the fold."""
+    rng = random.Random(5)
+    items = [(k, "hot", rng.choice([None, None, "smith", "jones", "wu"]), [f"h{k}"] if k % 5 == 0 else []) for k in range(300)]
+    items += [(300 + k, f"c{k}", "x", [f"c{k}", f"c{k + 1}"]) for k in range(300)]
+    items += [(600 + k, "chain of keys", rng.choice([None, "y"]), [f"e{k // 3}"]) for k in range(60)]
+    items += [(700 + k, f"s{k % 7}", rng.choice([None, "a", "b"]), [f"z{rng.randrange(15)}"] if rng.random() < 0.3 else []) for k in range(150)]
+    stored = [(0, "s0", None, ["z1"], None), (1, "s0", None, ["z2"], "K"), (2, "s1", "a", [], None), (3, "s2", None, ["z3"], None), (4, "s2", None, ["z4"], None), (5, "s2", "b", ["z5"], None), (6, "hot", None, ["h5"], None)]
+    editions = {f"e{k}": (f"E{k // 2}", [f"e{k}", f"e{k + 1}"]) for k in range(12)} | {"z7": ("K", ["z1"]), "z8": ("M", ["z9"])}
+    rng.shuffle(items)
+    items = [(k, *item[1:]) for k, item in enumerate(items[:400])] + [(400 + k, *item[1:]) for k, item in enumerate(sorted(items[400:]))]
+    want = fold_items(items, stored, editions)
+    got = ingest.ingest_items(spark.createDataFrame(items, ITEM), spark.createDataFrame(stored, WORK), spark.createDataFrame([(i, k, m) for i, (k, m) in editions.items()], EDITION)).collect()
+    assert {r["seq"]: (r["work"], r["step"]) for r in got} == want and all(r["created"] == (r["step"] == "new") for r in got)
+    chain = [(k, f"c{k}", "x", [f"c{k}", f"c{k + 1}"]) for k in range(2000)]
+    got = ingest.ingest_items(spark.createDataFrame(chain, ITEM), spark.createDataFrame([], WORK), spark.createDataFrame([], EDITION)).collect()
+    assert {r["work"] for r in got} == {-1}
+
+
+def test_ingest_merges_items_and_editions(spark):
+    item = "seq long, title string, author string, year int, isbn13s array<string>, cover_url string, description string, min_age int, min_age_source string, list_source string, list_key string, as_of_date int, rank int, weeks_on_list int, review_url string, metadata string"
+    work = "work long, title string, author string, year int, isbn13s array<string>, cover_url string, description string, work_key string, min_age int, min_age_source string"
+    listed = "work long, list_source string, list_key string, as_of_date int, rank int, weeks_on_list int, review_url string, metadata string"
+    works_ = [(5, "Stored", None, None, ["111"], None, None, None, None, None), (6, "Twin", "a", 1990, [], None, "d", None, 3, "nyt"), (7, "Twin", None, None, [], None, None, "K7", None, None)]
+    items = [
+        (0, "Incoming", "Ann", 2000, ["111", "9780306406157"], None, "text", 7, None, "nyt", "fiction", 20, 4, 9, None, "m0"),
+        (1, "Twin", "a", None, [], "c", None, 9, "csm", "csm", "k", None, 1, 1, "u1", None),
+        (2, "New one", None, None, ["555"], "own", None, 8, "wkar", "nyt", "fiction", 20, 1, 2, None, None),
+        (3, "New one", "Bo", 1999, [], "late", "late", 6, "nyt", "nyt", "fiction", 10, 2, 1, None, "older"),
+        (4, "Incoming", None, 1900, ["111"], "no", None, 5, "csm", "", "fiction", 30, None, None, None, None),
+        (5, "Other", None, None, ["222"], None, None, None, None, "nyt", "fiction", 30, 8, 10, "r5", "m5"),
+    ]
+    editions = spark.createDataFrame([("9780306406157", "OL1", ["222", "9780306406157"], "cover"), ("555", "K7", ["556"], "x")], EDITION + ", cover_url string")
+    held = spark.createDataFrame([(5, "nyt", "fiction", 25, 1, 1, "stored", "stored"), (9, "q", "q", None, None, None, None, None)], listed)
+    out = ingest.ingest_batch(spark.createDataFrame(items, item), spark.createDataFrame(works_, work), editions, held)
+    got = {r["work"]: (r["title"], r["author"], r["year"], r["cover_url"], r["description"], r["work_key"], r["isbn13s"]) for r in out["works"].collect()}
+    assert got == {
+        5: ("Stored", "Ann", 2000, "cover", "text", "OL1", ["111", "9780306406157", "222"]),
+        6: ("Twin", "a", 1990, None, "d", None, []),
+        7: ("Twin", None, None, "own", None, "K7", ["555", "556"]),
+        -4: ("New one", "Bo", 1999, "late", "late", None, []),
+    }
+    assert rows(out["ages"]) == [(-4, 6, "nyt"), (5, 5, "csm"), (6, 3, "nyt"), (7, 8, "wkar")]
+    member = {(r["work"], r["list_source"]): tuple(r)[3:] for r in out["memberships"].collect()}
+    assert member == {(5, "nyt"): (30, 8, 10, "r5", "m5"), (7, "nyt"): (20, 1, 2, None, None), (-4, "nyt"): (10, 2, 1, None, "older"), (9, "q"): (None,) * 5}
+    assert rows(out["ambiguous"]) == [(1, "Twin", "csm", "k", "ambiguous_title_author")] and rows(out["candidates"]) == [(1, 6, "Twin"), (1, 7, "Twin")]
+
+
 def test_enrichment(spark):
     data = spark.createDataFrame([(1, None, "x"), (2, 5, None), (3, None, None)], "k int, a int, b string")
     lookup = spark.createDataFrame([(1, 9, "y"), (3, None, "z"), (3, None, "z"), (None, 1, "q")], "k int, a int, b string")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, last_name, names_agree, normalize_author, normalize_title
-from .graph import components, saved
 from .tables import join_null_safe
 
-ITEM_TYPE = "seq long, title string, author string, year int, isbn13s array<string>, cover_url string, description string"
 #: Trust in sources of an age, the highest first; others count 0.
 AGE_RANKS = {"csm": 4, "pluggedin": 3, "wkar": 2, "nyt": 1}
 
@@ -124,139 +121,3 @@ def stamp_unique(candidates: DataFrame, holders: DataFrame, key: str = "work_key
     out = candidates.join(first, key).join(held, key, "left")
     free = F.col("_holder").isNull() & (F.col(row) == F.col("_winner"))
     return out.select(row, key, (free | F.coalesce(F.col("_holder") == F.col(row), F.lit(False))).alias("accepted"))
-
-
-def ingest_items(items: DataFrame, works: DataFrame, editions: DataFrame) -> DataFrame:
-    """(seq, work, step, created) of items taken in order, each seeing the works that earlier ones made or changed.
-
-    ``works`` has ids from 0 up; a new work gets the id -1 - seq of the item that made it.
-    Items and works that share an ISBN, a reachable key or a normalised title can touch
-    each other, all others can't, so connected components of these keys are resolved
-    apart, each in the order of seq. An item alone with stored works (the common case)
-    needs no order and is resolved by joins.
-    """
-    items = with_names(items).withColumn("item", F.col("seq"))
-    works = with_names(works)
-    isbn = lambda df, node: df.select(node.alias("node"), F.explode("isbn13s").alias("isbn"))
-    item_node, work_node = F.col("seq") * 2, F.col("work") * 2 + 1
-    by_isbn = isbn(items, item_node).union(isbn(works, work_node))
-    reached = by_isbn.join(editions.select("isbn", "work_key", F.col("isbn13s").alias("more")), "isbn")
-    keys = [
-        by_isbn.select("node", F.concat(F.lit("i:"), "isbn").alias("key")),
-        reached.select("node", F.concat(F.lit("k:"), "work_key").alias("key")),
-        reached.select("node", F.explode("more").alias("isbn")).select("node", F.concat(F.lit("i:"), "isbn").alias("key")),
-        works.select(work_node.alias("node"), F.concat(F.lit("k:"), "work_key").alias("key")),
-        items.select(item_node.alias("node"), F.concat(F.lit("t:"), "norm_title").alias("key")).where("key <> 't:'"),
-        works.select(work_node.alias("node"), F.concat(F.lit("t:"), "norm_title").alias("key")).where("key <> 't:'"),
-    ]
-    held = keys[0]
-    for more in keys[1:]:
-        held = held.union(more)
-    held = held.where("key IS NOT NULL").distinct()
-    hub = held.groupBy("key").agg(F.min("node").alias("hub"))
-    groups = components(held.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    placed = lambda df, node: df.withColumn("_node", node).join(groups.toDF("_node", "component"), "_node", "left").withColumn("component", F.coalesce("component", "_node")).drop("_node")
-    items, works = placed(items, item_node), placed(works, work_node)
-
-    size = items.groupBy("component").agg(F.count("*").alias("n"))
-    single = items.join(size.where("n = 1"), "component", "left_semi")
-    alone = resolve_works(single, works.join(single.select("component"), "component", "left_semi"), editions)
-    alone = alone.select(F.col("item").alias("seq"), F.when(F.col("step") == "new", -1 - F.col("item")).otherwise(F.col("work")).alias("work"), F.when(F.col("ambiguous"), F.concat(F.lit("ambiguous_"), "step")).otherwise(F.col("step")).alias("step"))
-
-    many = items.join(size.where("n > 1"), "component", "left_semi")
-    first = edition_keys(many, editions, "isbn13s")
-    many = many.join(first.withColumnRenamed("isbn13s", "more"), "item", "left")
-    shared = ["component", "isbn13s", "norm_title", "last", "work_key", "more"]
-    works = works.withColumn("more", F.lit(None).cast("array<string>"))
-    rows = many.select(F.col("seq"), F.lit(None).cast("long").alias("work"), *shared).union(
-        works.join(many.select("component").distinct(), "component", "left_semi").select(F.lit(None).cast("long").alias("seq"), "work", *shared)
-    )
-    folded = rows.groupBy("component").applyInPandas(_fold, "seq long, work long, step string")
-    return alone.union(folded).withColumn("created", F.col("step") == "new")
-
-
-class _Known:
-    """Works of a component, found by ISBN, key and title without going through them."""
-
-    def __init__(self) -> None:
-        self.works: dict[int, dict] = {}
-        self.by_isbn: dict[str, dict[int, None]] = {}
-        self.by_key: dict[str, int] = {}
-        self.by_title: dict[str, list[int]] = {}
-
-    def add(self, work: int, isbns, title: str | None, last: str | None, key: str | None) -> None:
-        self.works[work] = {"last": last, "key": None}
-        self.put(work, isbns, key)
-        if title:
-            self.by_title.setdefault(title, []).append(work)
-
-    def put(self, work: int, isbns, key: str | None) -> None:
-        for isbn in isbns:
-            self.by_isbn.setdefault(isbn, {})[work] = None
-        if key is not None:
-            self.works[work]["key"] = key
-            self.by_key.setdefault(key, work)
-
-
-def _fold(part: pd.DataFrame) -> pd.DataFrame:
-    """Resolves one component's items in order."""
-    text = lambda x: None if pd.isna(x) else x
-    listed = lambda x: [i for i in (x if x is not None else []) if i]
-    known = _Known()
-    for r in part[part["seq"].isna()].sort_values("work").itertuples():
-        known.add(int(r.work), listed(r.isbn13s), r.norm_title, text(r.last), text(r.work_key))
-    out = []
-    for r in part[part["seq"].notna()].sort_values("seq").itertuples():
-        isbns, last = listed(r.isbn13s), text(r.last)
-        step, hits = "isbn", list(dict.fromkeys(w for i in isbns for w in known.by_isbn.get(i, ())))
-        # an edition is only looked up where the ISBNs gave no work with a key
-        keyed = len(hits) > 1 or bool(hits and known.works[hits[0]]["key"])
-        key = None if keyed else text(r.work_key)
-        isbns += listed(r.more) if key else []
-        if not hits and key in known.by_key:
-            step, hits = "work_key", [known.by_key[key]]
-        if not hits and r.norm_title:
-            agree = lambda own: own is None or last is None or own == last
-            step, hits = "title_author", [w for w in known.by_title.get(r.norm_title, ()) if agree(known.works[w]["last"])]
-        if len(hits) > 1:
-            out.append((int(r.seq), None, f"ambiguous_{step}"))
-            continue
-        if hits:
-            work = hits[0]
-            known.works[work]["last"] = known.works[work]["last"] or last
-        else:
-            step, work = "new", -1 - int(r.seq)
-            known.add(work, (), r.norm_title, last, None)
-        # a key is stamped only while no other work holds it
-        known.put(work, isbns, key if known.works[work]["key"] is None and key not in known.by_key else None)
-        out.append((int(r.seq), work, step))
-    return pd.DataFrame(out, columns=["seq", "work", "step"]).astype({"seq": "int64", "work": "Int64"})
-
-
-def ingest_batch(items: DataFrame, works: DataFrame, editions: DataFrame, memberships: DataFrame) -> dict[str, DataFrame]:
-    """What a batch of items leaves behind: assigned, works, ages, memberships and ambiguous.
-
-    ``items`` has (seq, title, author, year, isbn13s, cover_url, description, min_age,
-    list_source, list_key, as_of_date), ``works`` (work, title, author, year, isbn13s,
-    cover_url, description, work_key, min_age, min_age_source), ``memberships`` (work,
-    list_source, list_key, as_of_date). ``assigned`` is the result of ``ingest_items``;
-    works are merged with their items, a stored work first; of ages the best source's
-    counts and of a list's memberships the newest. ``ambiguous`` (seq, title,
-    list_source, step) are the items that fit several works and leave nothing else.
-    """
-    assigned = saved(ingest_items(items.select("seq", "title", "author", "isbn13s"), works.select("work", "title", "author", "isbn13s", "work_key"), editions))
-    own = items.join(assigned.select("seq", "work", "step"), "seq")
-    found = own.where("work IS NOT NULL")
-    facts = ["title", "author", "year", "isbn13s", "cover_url", "description"]
-    stored = F.lit(-1).cast("long").alias("seq")
-    merged = merge_works(works.select("work", stored, *facts).union(found.select("work", "seq", *facts)))
-    ages = works.select("work", stored, "min_age", "min_age_source").union(found.select("work", "seq", "min_age", F.col("list_source").alias("min_age_source")))
-    listed = ["work", "list_source", "list_key", "as_of_date"]
-    member = memberships.select(*listed, stored).union(found.where("list_key IS NOT NULL").select(*listed, "seq"))
-    return {
-        "assigned": assigned,
-        "works": merged,
-        "ages": ranked_value(ages, "work", "min_age", "min_age_source", "seq"),
-        "memberships": newest_wins(member, ["work", "list_source", "list_key"], "as_of_date", "seq").select(*listed),
-        "ambiguous": own.where("work IS NULL").select("seq", "title", "list_source", "step"),
-    }

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import audit, enrich, reports, tables, works
+from ..operators import audit, enrich, ingest, reports, tables, works
 from ..operators.graph import new_path
 from ..sources import landed
 from ..streaming import streams
@@ -232,7 +232,7 @@ def ingest_resolution(spark, d):
     )
     stored = p.where("id % 2 = 0").select(F.col("id").alias("work"), "title", "author", "isbn13s", F.when(F.col("id") % 6 == 0, F.concat(F.lit("K"), "id")).alias("work_key"))
     editions = p.where("id % 5 = 0").select(F.get("isbn13s", F.lit(0)).alias("isbn"), F.concat(F.lit("K"), F.col("id") + 1).alias("work_key"), "isbn13s")
-    return works.ingest_items(p.where("id % 2 = 1").withColumnRenamed("id", "seq"), stored, editions)
+    return ingest.ingest_items(p.where("id % 2 = 1").withColumnRenamed("id", "seq"), stored, editions)
 
 
 @query("""WITH t AS (SELECT p_partkey::VARCHAR title_id, p_size > 25 surfaced, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE TIMESTAMP '1996-01-01' END checked_at FROM part),
