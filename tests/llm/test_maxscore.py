@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm.maxscore import Postings, maxscore, quantised, top_products
+from weftline.llm.maxscore import Postings, maxscore, quantised, split, top_products
 
 KIND = "vec_id long, embedding array<double>, score long, row int"
 
@@ -37,7 +37,7 @@ def test_a_block_gives_all_that_reach_the_threshold():
         for q in block[:20]:
             scores = np.array([x @ q for x in block])
             for least in (None, -50, 0, 1, int(np.sort(scores)[-5]), int(scores.max()), int(scores.max()) + 1):
-                docs, got = maxscore(postings, q, least)
+                ((docs, got),) = maxscore(postings, [q], [least])
                 want = np.flatnonzero(scores >= (-np.inf if least is None else least))
                 assert docs.tolist() == want.tolist() and (got == scores[want]).all()
 
@@ -47,8 +47,11 @@ def test_few_postings_are_traversed():
     rng = np.random.default_rng(5)
     block = [np.concatenate(([k == 7], rng.integers(0, 2, 20))).astype(float) for k in range(500)]
     query = np.array([1000.0, *[1.0] * 20])
-    docs, scores = maxscore(Postings(block), query, 900)
+    postings = Postings(block)
+    ((docs, scores),) = maxscore(postings, [query], [900])
     assert docs.tolist() == [7] and scores[0] == block[7] @ query
+    own = split(postings, query, 900)
+    assert own.order[own.minor :].tolist() == [0] and 0 in postings.lists
 
 
 @pytest.mark.parametrize("cells", [1 << 18, 96])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from .common import saved
 _EXACT = 2.0**53
 #: Each round of blocks ends at so many times the blocks before it.
 _WIDEN = 16
+#: Queries that traverse the lists together, and terms that are looked up together.
+_TOGETHER, _PROBED = 64, 8
 
 
 def quantised(values, scale: int) -> np.ndarray:
@@ -33,15 +36,13 @@ def _integers(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Term:
-    """A term's inverted list: documents and weights; ``docs`` is None where the list has a place for every document."""
+    """A term's inverted list: documents in order and their weights."""
 
-    docs: np.ndarray | None
+    docs: np.ndarray
     weights: np.ndarray
 
     def at(self, docs: np.ndarray) -> np.ndarray:
         """The weights that these documents have."""
-        if self.docs is None:
-            return self.weights[docs]
         if not len(self.docs):
             return np.zeros(len(docs), dtype=self.weights.dtype)
         place = np.minimum(np.searchsorted(self.docs, docs), len(self.docs) - 1)
@@ -49,21 +50,28 @@ class Term:
 
 
 class Postings:
-    """The inverted lists of a block of documents, one per component, with the extreme weights of each."""
+    """The inverted lists of a block of documents, one per component, with what bounds a score.
+
+    Lists that hold more than half of the documents are the rows of a matrix.
+    """
 
     def __init__(self, vectors: list[np.ndarray]) -> None:
         self.vectors, self.n = vectors, len(vectors)
-        exact = any(x.dtype == object for x in vectors)
-        matrix = np.full((max(map(len, vectors), default=0), self.n), 0, dtype=object if exact else np.float64)
+        self.exact = any(x.dtype == object for x in vectors)
+        self.width = max(map(len, vectors), default=0)
+        matrix = np.full((self.width, self.n), 0, dtype=object if self.exact else np.float64)
         for k, x in enumerate(vectors):
-            matrix[: len(x), k] = _integers(x) if exact else x
-        self.exact = exact
+            matrix[: len(x), k] = _integers(x) if self.exact else x
         self.high, self.low = matrix.max(axis=1, initial=0), matrix.min(axis=1, initial=0)
-        self.terms = []
-        for row in matrix:
-            docs = np.flatnonzero(row)
-            full = 2 * len(docs) > self.n
-            self.terms.append(Term(None if full else docs, row if full else row[docs]))
+        self.longest = math.inf if self.exact else math.sqrt(float((matrix**2).sum(axis=0).max(initial=0)))
+        full = 2 * (matrix != 0).sum(axis=1) > self.n
+        self.dense = np.flatnonzero(full)
+        self.matrix = matrix if full.all() else matrix[self.dense]
+        self.row = np.where(full, np.cumsum(full) - 1, -1)
+        self.lists = {}
+        for t in np.flatnonzero(~full):
+            docs = np.flatnonzero(matrix[t])
+            self.lists[int(t)] = Term(docs, matrix[t, docs])
 
     @cached_property
     def whole(self) -> Postings:
@@ -71,46 +79,79 @@ class Postings:
         return self if self.exact else Postings([_integers(x) for x in self.vectors])
 
 
-def maxscore(postings: Postings, query: np.ndarray, least) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, scores) of all documents of the block that score ``least`` or more (all, if None).
+@dataclass
+class Split:
+    """A query's terms by rising bound; the first ``minor`` of them are non-essential, ``limits[j]`` bounds what the first j give together."""
 
-    The terms whose bounds together stay under ``least`` are non-essential: a document
-    that scores in them alone can't reach it. The lists of the others are traversed;
-    the rest is only looked up for documents that are still able to reach it, from the
-    largest bound down.
-    """
-    query = query[: len(postings.terms)]
-    high, low = postings.high[: len(query)], postings.low[: len(query)]
-    exact = postings.exact or query.dtype == object or float(np.abs(query) @ np.maximum(high, -low)) >= _EXACT
-    if exact:
-        postings, query = postings.whole, _integers(query)
-        high, low = postings.high[: len(query)], postings.low[: len(query)]
-    bounds = np.maximum(query * high, query * low)
+    query: np.ndarray
+    order: np.ndarray
+    limits: np.ndarray
+    minor: int
+    least: int | None
+
+
+def split(postings: Postings, query: np.ndarray, least) -> Split:
+    """Terms bound a score by their extreme weights, and together by the lengths of the vectors (with room for rounding)."""
+    bounds = np.maximum(query * postings.high[: len(query)], query * postings.low[: len(query)])
     order = np.argsort(bounds, kind="stable")
-    sums = np.concatenate((np.full(1, 0, dtype=bounds.dtype), np.cumsum(bounds[order])))
-    # sums[j] bounds what the j smallest terms give together
-    minor = 0 if least is None or least <= 0 else int(np.searchsorted(sums, least)) - 1
-    score = np.full(postings.n, 0, dtype=object if exact else np.float64)
-    seen = np.full(postings.n, least is None or least <= 0)
-    for t in order[minor:][::-1]:
-        if query[t]:
-            term = postings.terms[t]
-            part = term.weights * query[t]
-            if term.docs is None:
-                score += part
-                seen |= part > 0
-            else:
-                score[term.docs] += part
-                seen[term.docs] |= part > 0
-    live = np.flatnonzero(seen)
-    if least is not None:
-        live = live[(score[live] + sums[minor] >= least).astype(bool)]
-    for j in range(minor - 1, -1, -1):
+    limits = np.concatenate((np.full(1, 0, dtype=bounds.dtype), np.cumsum(bounds[order])))
+    if not postings.exact:
+        lengths = np.concatenate(([0], np.sqrt(np.cumsum(query[order] ** 2))))
+        limits = np.minimum(limits, lengths * postings.longest * (1 + 1e-9))
+    minor = 0 if least is None or least <= 0 else int(np.searchsorted(limits, least)) - 1
+    return Split(query, order, limits, minor, least)
+
+
+def maxscore(postings: Postings, queries: list[np.ndarray], leasts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (documents, scores) of all documents of the block that score ``least`` or more (all, if None).
+
+    A document that scores in non-essential terms alone can't reach ``least``. The lists
+    of the essential terms are traversed, for all queries together; the others are only
+    looked up for documents that are still able to reach it, from the largest bound down.
+    """
+    out: list = [None] * len(queries)
+    cut = [q[: postings.width] for q in queries]
+    fine = []
+    for i, q in enumerate(cut):
+        if postings.exact or q.dtype == object or float(np.abs(q) @ np.maximum(postings.high, -postings.low)[: len(q)]) >= _EXACT:
+            out[i] = _searched(postings.whole, [split(postings.whole, _integers(q), leasts[i])])[0]
+        else:
+            fine.append(i)
+    for i, found in zip(fine, _searched(postings, [split(postings, cut[i], leasts[i]) for i in fine])):
+        out[i] = found
+    return out
+
+
+def _searched(postings: Postings, splits: list[Split]) -> list[tuple[np.ndarray, np.ndarray]]:
+    essential = np.full((len(splits), postings.width), 0, dtype=postings.matrix.dtype)
+    for i, s in enumerate(splits):
+        terms = s.order[s.minor :]
+        essential[i, terms] = s.query[terms]
+    scores = essential[:, postings.dense] @ postings.matrix
+    for t, term in postings.lists.items():
+        for i in np.flatnonzero(essential[:, t]):
+            scores[i, term.docs] += essential[i, t] * term.weights
+    return [_probed(postings, s, score) for s, score in zip(splits, scores)]
+
+
+def _probed(postings: Postings, s: Split, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if s.least is None:
+        return np.arange(postings.n), score
+    live = np.flatnonzero((score + s.limits[s.minor] >= s.least).astype(bool))
+    score = score[live]
+    for j in range(s.minor, 0, -_PROBED):
         if not len(live):
             break
-        score[live] += postings.terms[order[j]].at(live) * query[order[j]]
-        live = live[(score[live] + sums[j] >= least).astype(bool)]
-    return live, score[live]
+        left = max(0, j - _PROBED)
+        terms = s.order[left:j]
+        dense = terms[postings.row[terms] >= 0]
+        score = score + s.query[dense] @ postings.matrix[np.ix_(postings.row[dense], live)]
+        for t in terms[postings.row[terms] < 0]:
+            if s.query[t]:
+                score = score + postings.lists[int(t)].at(live) * s.query[t]
+        able = (score + s.limits[left] >= s.least).astype(bool)
+        live, score = live[able], score[able]
+    return live, score
 
 
 def _whole(values: np.ndarray) -> np.ndarray:
@@ -127,9 +168,11 @@ def searched(k: int, scale: int):
         rows, ids, named = (docs[c].to_numpy() for c in ("row", "vec", "named"))
         postings = Postings([quantised(x, scale) for x in docs["embedding"]])
         out = []
-        columns = ("row", "vec", "named", "embedding", "free", "least", "least_id")
-        for own, query_id, known, vector, free, least, least_id in zip(*(queries[c] for c in columns)):
-            found, scores = maxscore(postings, quantised(vector, scale), None if free else int(least))
+        columns = ("row", "vec", "named", "free", "least", "least_id")
+        vectors = [quantised(x, scale) for x in queries["embedding"]]
+        leasts = [None if free else int(least) for free, least in zip(queries["free"], queries["least"])]
+        met = chain.from_iterable(maxscore(postings, vectors[k : k + _TOGETHER], leasts[k : k + _TOGETHER]) for k in range(0, len(vectors), _TOGETHER))
+        for (found, scores), own, query_id, known, free, least, least_id in zip(met, *(queries[c] for c in columns)):
             scores = _whole(scores)
             # at the threshold itself only smaller ids come in
             fit = rows[found] != own
