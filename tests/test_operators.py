@@ -39,11 +39,7 @@ def test_upsert_matches_null_keys_and_overwrites_with_nulls(spark):
     assert rows(again) == got
 
 
-def test_snapshots_and_log(spark, tmp_path):
-    root = str(tmp_path / "t")
-    tables.write_snapshot(spark.range(3), root)
-    tables.write_snapshot(tables.read_snapshot(spark, root).union(spark.range(1)), root)
-    assert tables.read_snapshot(spark, root).count() == 4
+def test_run_log(spark, tmp_path):
     for k in range(2):
         tables.append_run(spark, str(tmp_path / "log"), sync_type="x", status="completed", metadata={"n": k})
     assert rows(spark.read.parquet(str(tmp_path / "log")), "id", "metadata") == [(1, '{"n": 0}'), (2, '{"n": 1}')]

@@ -1,9 +1,8 @@
-"""Keyed tables: null-safe upsert, versioned snapshots, run logs."""
+"""Keyed tables: null-safe upsert, run logs, the availability export."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,20 +58,6 @@ def seed_dimension(dim: DataFrame, payload: DataFrame, key: str, name: str, set_
     return upsert(dim, first.withColumn("_seq", F.lit(0)), [key], set_cols, ["_seq"])
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Writes a new version under ``root`` and moves the pointer to it; the version being read is never overwritten."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
-    return version
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()["version"]
-    return spark.read.parquet(f"{root}/{version}")
-
-
 LOG_TYPE = "id long, sync_type string, started_at timestamp, completed_at timestamp, status string, api_calls_used long, titles_processed long, last_cursor string, error_message string, metadata string"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import audit, enrich, ingest, reports, tables, works
-from ..operators.graph import new_path
+from ..operators.graph import new_path, saved
 from ..sources import landed
 from ..streaming import streams
 from .catalog import OFFERS, QUERIES, SQL, as_watched, offers, query, read, ts
@@ -173,30 +173,32 @@ def props_flatten(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""WITH r AS (SELECT o_custkey k, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE epoch(o_orderdate)::DOUBLE END dy, o_orderkey q FROM orders),
- n AS (SELECT *, max(CASE WHEN dy IS NULL THEN q END) OVER (PARTITION BY k) nq FROM r)
-SELECT k::VARCHAR AS key, q AS seq, dy AS day FROM n WHERE nq IS NULL OR q >= nq QUALIFY row_number() OVER (PARTITION BY k ORDER BY dy DESC NULLS LAST, q DESC) = 1""")
+@query("""WITH r AS (SELECT o_custkey work, o_orderpriority list, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate::DATE END d, o_orderkey q, o_orderkey % 20 rk, o_custkey % 9 wk, 'u' || o_orderkey u, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END m FROM orders),
+ n AS (SELECT *, max(CASE WHEN d IS NULL THEN q END) OVER (PARTITION BY work, list) nq FROM r)
+SELECT work, list, q AS seq, strftime(d, '%Y-%m-%d') AS as_of, rk AS rank, wk AS weeks, u AS review_url, m AS metadata FROM n WHERE nq IS NULL OR q >= nq QUALIFY row_number() OVER (PARTITION BY work, list ORDER BY d DESC NULLS LAST, q DESC) = 1""")
 def stream_newest_wins(spark, d):
-    """The stream form over the orders as they land, read back from its sink: the last row of every key."""
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, streams.ROCKSDB)
-    schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(_stream_dir(d, "orders")).select(
-        F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") != "P", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")).alias("day")
-    )
+    """Memberships as a stream that goes on from a stored table (each key's first order), the whole rows read back from its state."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    order = F.col("o_orderkey")
+    columns = [
+        F.col("o_custkey").alias("work"), F.col("o_orderpriority").alias("list"), order.alias("seq"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("as_of"), (order % 20).alias("rank"), (F.col("o_custkey") % 9).alias("weeks"),
+        F.concat(F.lit("u"), order.cast("string")).alias("review_url"), F.when(order % 3 == 0, F.col("o_orderstatus")).alias("metadata"),
+    ]
+    orders = read(spark, d, "orders").select(*columns)
+    keys = ["work", "list"]
+    stored = orders.groupBy(*keys).agg(F.min_by(F.struct(*orders.columns[2:]), "seq").alias("r")).select(*keys, "r.*")
+    rows = spark.readStream.schema(spark.read.parquet(f"{d}/orders.parquet").schema).parquet(_stream_dir(d, "orders")).select(*columns)
     out, state = new_path(spark), new_path(spark)
-
-    def keep(batch, n):
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
-
+    spark.conf.set(provider, streams.ROCKSDB)
     try:
-        q = streams.newest_wins_stream(rows).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
-        q.awaitTermination()
+        q = streams.newest_wins_stream(rows, keys, "as_of", "seq", stored).writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).outputMode("update").option("checkpointLocation", state)
+        q.trigger(availableNow=True).start().awaitTermination()
+        held = spark.read.format("statestore").option("path", state).option("stateVarName", "rows").load()
+        table = saved(works.newest_wins(held.select("list_element.*"), keys, "as_of", "seq"))
     finally:
-        spark.conf.set(store, before)
-    done = spark.read.schema("key string, seq long, day double, batch int").parquet(out)
-    return done.groupBy("key").agg(F.max_by(F.struct("seq", "day"), "batch").alias("r")).select("key", "r.*")
+        spark.conf.set(provider, before)
+    return table.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
 
 
 @query("SELECT CASE event_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'expiring' ELSE 'updated' END AS kind, count(*) AS n FROM events GROUP BY 1")

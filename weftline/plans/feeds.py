@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import audit, changes, enrich, reports, tables, works
+from ..operators import audit, changes, enrich, ingest, reports, store, works
 from ..operators.graph import new_path
 from ..sources import landed
 from ..streaming import streams
@@ -99,16 +99,24 @@ def catalog_load(spark, d):
     return out.select("title_id", "service_id", "type", "video_quality", "link", "service", "title")
 
 
+def _landed(spark, rows: DataFrame, parts: list[Column]) -> str:
+    """The rows as files of a feed's folder, one after the other; conditions say which rows each file has."""
+    folder = new_path(spark)
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 @query(SQL["change_replay"])
 def stream_change_apply(spark, d):
-    """The change feed as a stream that is applied to a snapshot; the events are one batch, so the table is that of ``change_replay``."""
+    """The change feed as a stream of files applied to a keyed table, batch by batch; the second file comes twice, as overlapping reads do. The table is that of ``change_replay``."""
     root, state = new_path(spark), new_path(spark)
     none, when = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
     kind = F.when(F.col("event_id") % 4 == 0, "removed").when(F.col("event_id") % 4 == 1, "expiring").otherwise("updated")
     number = F.get_json_object("props", "$.k").cast("long")
 
     def batch(events: DataFrame) -> DataFrame:
-        return events.select(F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").cast("string").alias("title_id"), number.cast("string").alias("service_id"), F.when(F.col("event_id") % 3 == 0, "F").otherwise("O").alias("type"), F.col("ts").cast("timestamp_ntz").alias("ts"), number.alias("k"))
+        return events.select("event_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").cast("string").alias("title_id"), number.cast("string").alias("service_id"), F.when(F.col("event_id") % 3 == 0, "F").otherwise("O").alias("type"), F.col("ts").cast("timestamp_ntz").alias("ts"), number.alias("k"))
 
     def options(rows: DataFrame) -> DataFrame:
         return rows.where("kind = 'updated'").select(
@@ -116,18 +124,34 @@ def stream_change_apply(spark, d):
             F.lit(None).cast("decimal(8,2)").alias("price_amount"), none.alias("price_currency"), F.col("ts").alias("expires_on"),
         )
 
-    stored = options(batch(read(spark, d, "events"))).where("seq % 2 = 0").select("title_id", "service_id", F.lit("US").alias("region"), "type", "video_quality").distinct()
+    events = read(spark, d, "events")
+    stored = options(batch(events)).where("seq % 2 = 0").select("title_id", "service_id", F.lit("US").alias("region"), "type", "video_quality").distinct()
     stored = stored.select("*", F.concat(F.lit("/old/"), "title_id").alias("link"), none.alias("deep_link"), F.lit(None).cast("decimal(8,2)").alias("price_amount"), none.alias("price_currency"), when.alias("expires_on"), when.alias("available_from"), F.lit("motn").alias("source"))
-    tables.write_snapshot(stored, root)
+    table = store.KeyedStore.create(stored, root, ["title_id"], buckets=16)
 
-    def apply(table: DataFrame, rows: DataFrame) -> DataFrame:
+    def apply(held: DataFrame, rows: DataFrame) -> DataFrame:
         own = options(rows)
-        return changes.apply_changes(table, rows, own.select("seq", "title_id"), own)
+        return changes.apply_changes(held, rows, own.select("seq", "title_id"), own)
+
+    third = events.agg((F.max("event_id") / 3).cast("long")).first()[0]
+    at = F.col("event_id")
+    feed = _landed(spark, events, [at <= third, (at > third) & (at <= 2 * third), (at > third) & (at <= 2 * third), at > 2 * third])
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    rows = batch(rows).withColumn("at", F.col("ts").cast("timestamp"))
+    streams.apply_stream(rows, table, apply, state, ["event_id"], ts="at", late="2000 days").awaitTermination()
+    return store.KeyedStore(spark, root).read().select("title_id", "service_id", "type", "video_quality", "link", "expires_on", "source")
 
-    schema = read(spark, d, "events").schema
-    feed = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
-    streams.apply_stream(feed, root, lambda table, rows: apply(table, batch(rows)), state, ["event_id"], ts="at", late="2000 days").awaitTermination()
-    return tables.read_snapshot(spark, root).select("title_id", "service_id", "type", "video_quality", "link", "expires_on", "source")
+
+@query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0 AND url IS NOT NULL)")
+def stream_new_urls(spark, d):
+    """Page urls as a feed of three overlapping files; every fifth page is known before. What the sink gets, once each."""
+    pages, out = read(spark, d, "pages").select("page_id", "url"), new_path(spark)
+    root, state = new_path(spark), new_path(spark)
+    known = streams.KnownUrls.create(pages.where("page_id % 5 = 0"), root, blocks=1 << 12, buckets=16)
+    at = F.col("page_id") % 3
+    feed = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(_landed(spark, pages, [at != 2, at != 0, at != 1]))
+    streams.new_urls(feed, known, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), state).awaitTermination()
+    return spark.read.schema("url string").parquet(f"{out}/batch=*").select("url")
 
 
 @query("SELECT CASE event_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'expiring' ELSE 'updated' END AS kind, count(*) AS n, count(*) FILTER (WHERE user_id % 10 = 0) AS failures FROM events GROUP BY 1")
@@ -339,30 +363,44 @@ def edition_key_match(spark, d):
     return works.edition_keys(items, editions)
 
 
-@query("""WITH i AS (SELECT o_orderkey seq, CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_custkey END work, o_orderpriority a, year(o_orderdate) y, o_orderkey % 15 age, CASE WHEN o_orderstatus = 'F' THEN 'nyt' ELSE 'wkar' END src,
-  o_orderpriority key, o_orderdate::DATE dt FROM orders),
- w AS (SELECT c_custkey work, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END a FROM customer),
+@query("""WITH i AS (SELECT o_orderkey seq, CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_custkey END work, o_orderpriority a, year(o_orderdate) y, o_orderkey % 15 age, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'nyt' ELSE 'wkar' END asrc,
+  CASE WHEN o_orderstatus = 'F' THEN 'nyt' ELSE 'wkar' END src, o_orderpriority key, o_orderdate::DATE dt, o_orderkey % 20 rk, o_custkey % 9 wk, o_orderkey % 7 = 0 AND o_orderstatus <> 'P' AND o_custkey % 3 <> 0 ed FROM orders),
+ w AS (SELECT c_custkey work, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END a, CASE WHEN c_custkey % 3 = 0 THEN 'W' || c_custkey END k FROM customer),
+ e AS (SELECT seq, work FROM i WHERE ed QUALIFY row_number() OVER (PARTITION BY work ORDER BY seq) = 1),
  ids AS (SELECT work FROM w UNION SELECT work FROM i),
- m AS (SELECT work, arg_min(a, seq) a, arg_min(y, seq) y, string_agg('o' || seq, ',' ORDER BY seq) o, arg_max(age, (CASE src WHEN 'wkar' THEN 2 ELSE 1 END, seq)) age, arg_max(src, (CASE src WHEN 'wkar' THEN 2 ELSE 1 END, seq)) src FROM i GROUP BY 1),
- l AS (SELECT work, count(*) lists, max(dt) newest FROM (SELECT work, src, key, max(dt) dt FROM i GROUP BY ALL) GROUP BY 1)
-SELECT work, coalesce(w.a, m.a) AS author, m.y AS year, concat_ws(',', CASE WHEN work >= 0 THEN 'b' || work END, o) AS isbns, age AS min_age, src AS min_age_source, lists, strftime(newest, '%Y-%m-%d') AS newest
-FROM ids LEFT JOIN w USING (work) LEFT JOIN m USING (work) LEFT JOIN l USING (work)""")
+ x AS (SELECT work, seq * 10 o, 'o' || seq t FROM i UNION ALL SELECT work, seq * 10 + 1, 'e' || work FROM e UNION ALL SELECT work, seq * 10 + 2, 'f' || seq FROM e),
+ m AS (SELECT work, arg_min(a, seq) a, arg_min(y, seq) y FROM i GROUP BY 1), t AS (SELECT work, string_agg(t, ',' ORDER BY o) t FROM x GROUP BY 1),
+ g AS (SELECT work, arg_max(age, (CASE asrc WHEN 'wkar' THEN 2 ELSE 1 END, seq)) age, arg_max(asrc, (CASE asrc WHEN 'wkar' THEN 2 ELSE 1 END, seq)) asrc FROM i WHERE asrc IS NOT NULL GROUP BY 1),
+ b AS (SELECT work, src, key, dt, seq, rk, wk FROM i UNION ALL SELECT c_custkey, 'nyt', '1-URGENT', DATE '1995-01-01', -1, 99, 98 FROM customer WHERE c_custkey % 2 = 0),
+ l AS (SELECT work, count(*) lists, max(dt) newest, sum(rk)::BIGINT AS ranks, sum(wk)::BIGINT AS weeks FROM (SELECT work, arg_max(dt, (dt, seq)) dt, arg_max(rk, (dt, seq)) rk, arg_max(wk, (dt, seq)) wk FROM b GROUP BY work, src, key) GROUP BY 1)
+SELECT work, coalesce(w.a, m.a) AS author, m.y AS year, concat_ws(',', CASE WHEN work >= 0 THEN 'b' || work END, t) AS isbns, coalesce(w.k, 'E' || e.seq) AS work_key, 'cover' || e.seq AS cover_url,
+ age AS min_age, asrc AS min_age_source, lists, strftime(newest, '%Y-%m-%d') AS newest, ranks, weeks
+FROM ids LEFT JOIN w USING (work) LEFT JOIN m USING (work) LEFT JOIN t USING (work) LEFT JOIN g USING (work) LEFT JOIN l USING (work) LEFT JOIN e USING (work)""")
 def book_ingest(spark, d):
-    """Orders as items of customers' works: each names its work by ISBN, but for those that make a work of their own."""
-    none = F.lit(None).cast("string")
-    new = F.col("o_orderstatus") == "P"
-    items = read(spark, d, "orders").select(
-        F.col("o_orderkey").alias("seq"), F.concat(F.lit("order "), "o_orderkey").alias("title"), F.col("o_orderpriority").alias("author"), F.year("o_orderdate").alias("year"),
-        F.when(new, F.array(F.concat(F.lit("o"), "o_orderkey"))).otherwise(F.array(F.concat(F.lit("b"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey"))).alias("isbn13s"), none.alias("cover_url"), none.alias("description"),
-        (F.col("o_orderkey") % 15).cast("int").alias("min_age"), F.when(F.col("o_orderstatus") == "F", "nyt").otherwise("wkar").alias("list_source"), F.col("o_orderpriority").alias("list_key"), F.to_date("o_orderdate").alias("as_of_date"),
+    """Orders as items of customers' works: each names its work by ISBN, but for those that make a work of their own.
+
+    Some items have editions, which give a work without a key their key, ISBNs and cover;
+    some have an age without a source; every other customer is on a list already.
+    """
+    none, new, order = F.lit(None).cast("string"), F.col("o_orderstatus") == "P", F.col("o_orderkey").cast("string")
+    source = F.when(F.col("o_orderstatus") == "F", "nyt").otherwise("wkar")
+    orders = read(spark, d, "orders")
+    own_isbn, customer = F.concat(F.lit("o"), order), F.concat(F.lit("b"), F.col("o_custkey").cast("string"))
+    items = orders.select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit("order "), order).alias("title"), F.col("o_orderpriority").alias("author"), F.year("o_orderdate").alias("year"),
+        F.when(new, F.array(own_isbn)).otherwise(F.array(customer, own_isbn)).alias("isbn13s"), none.alias("cover_url"), none.alias("description"),
+        (F.col("o_orderkey") % 15).cast("int").alias("min_age"), F.when(F.col("o_orderkey") % 4 != 0, source).alias("min_age_source"), source.alias("list_source"), F.col("o_orderpriority").alias("list_key"), F.to_date("o_orderdate").alias("as_of_date"),
+        (F.col("o_orderkey") % 20).alias("rank"), (F.col("o_custkey") % 9).alias("weeks_on_list"), none.alias("review_url"), none.alias("metadata"),
     )
     held = read(spark, d, "customer").select(
-        F.col("c_custkey").alias("work"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("author"), F.lit(None).cast("int").alias("year"), F.array(F.concat(F.lit("b"), "c_custkey")).alias("isbn13s"),
-        none.alias("cover_url"), none.alias("description"), none.alias("work_key"), F.lit(None).cast("int").alias("min_age"), none.alias("min_age_source"),
+        F.col("c_custkey").alias("work"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("author"), F.lit(None).cast("int").alias("year"), F.array(F.concat(F.lit("b"), F.col("c_custkey").cast("string"))).alias("isbn13s"),
+        none.alias("cover_url"), none.alias("description"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("W"), F.col("c_custkey").cast("string"))).alias("work_key"), F.lit(None).cast("int").alias("min_age"), none.alias("min_age_source"),
     )
-    editions = spark.createDataFrame([], "isbn string, work_key string, isbn13s array<string>")
-    listed = spark.createDataFrame([], "work long, list_source string, list_key string, as_of_date date")
-    out = works.ingest_batch(items, held, editions, listed)
-    lists = out["memberships"].groupBy("work").agg(F.count("*").alias("lists"), F.date_format(F.max("as_of_date"), "yyyy-MM-dd").alias("newest"))
+    found = orders.where("o_orderkey % 7 = 0 AND o_orderstatus <> 'P' AND o_custkey % 3 <> 0")
+    editions = found.select(own_isbn.alias("isbn"), F.concat(F.lit("E"), order).alias("work_key"), F.array(F.concat(F.lit("e"), F.col("o_custkey").cast("string")), F.concat(F.lit("f"), order)).alias("isbn13s"), F.concat(F.lit("cover"), order).alias("cover_url"))
+    day = F.lit("1995-01-01").cast("date")
+    listed = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("work"), F.lit("nyt").alias("list_source"), F.lit("1-URGENT").alias("list_key"), day.alias("as_of_date"), F.lit(99).cast("long").alias("rank"), F.lit(98).cast("long").alias("weeks_on_list"), none.alias("review_url"), none.alias("metadata"))
+    out = ingest.ingest_batch(items, held, editions, listed)
+    lists = out["memberships"].groupBy("work").agg(F.count("*").alias("lists"), F.date_format(F.max("as_of_date"), "yyyy-MM-dd").alias("newest"), F.sum("rank").alias("ranks"), F.sum("weeks_on_list").alias("weeks"))
     rows = out["works"].join(out["ages"], "work", "left").join(lists, "work", "left")
-    return rows.select("work", "author", "year", F.array_join("isbn13s", ",").alias("isbns"), "min_age", "min_age_source", "lists", "newest")
+    return rows.select("work", "author", "year", F.array_join("isbn13s", ",").alias("isbns"), "work_key", "cover_url", "min_age", "min_age_source", "lists", "newest", "ranks", "weeks")
