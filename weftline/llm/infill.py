@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 MARKS = (b"<P>", b"<S>", b"<M>")
 #: Bytes whose positions are worked out together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of texts that are joined into one batch; a longer text is a batch of its own.
-BATCH = 1 << 23
+BATCH = 1 << 21
 
 
 def draws(doc_id: int | None, seed: int) -> tuple[int, int, int, int]:
