@@ -1,11 +1,15 @@
 """Tool-call linking and URL filters."""
 
 import json
+import random
+import time
+from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from weftline.llm.tools import link_tool_calls, parse_messages
-from weftline.llm.urls import filter_urls, host_and_path
+from weftline.llm.urls import filter_urls, host_and_path, mine_rules
 
 CALLS = "conv long, pos long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv long, pos long, call_id string, content string"
@@ -117,3 +121,36 @@ def test_ties_between_mined_rules(spark):
     got = {r["page_id"]: (r["verdict"], r["mined"]) for r in filter_urls(pages, spark.createDataFrame(labelled, "url string, verdict string"), []).collect()}
     # equally sure, equally frequent and equally long: the first in the order of tokens
     assert got == {1: ("block", "h:a"), 2: ("block", "h:a"), 3: ("allow", "h:b"), 4: ("allow", None)}
+
+
+def test_mining_against_all_subsets(spark):
+    """Every set of up to three tokens counted one by one; sets that say no more than a subset may be left out."""
+    rng = random.Random(4)
+    words = [f"t{k}" for k in range(7)]
+    urls = [(sorted({w for w in words if rng.random() < 0.5} | {"t0"} | ({"u1", "u2"} if rng.random() < 0.3 else set())), rng.choice(["allow", "block", "block"])) for _ in range(120)]
+    got = mine_rules(spark.createDataFrame([*urls, (["t0"], None)], "tokens array<string>, verdict string"), min_confidence=0.5, min_lift=1.0)
+    counts, share = Counter(), Counter(v for _, v in urls)
+    for tokens, verdict in urls:
+        for size in (1, 2, 3):
+            for some in combinations(tokens, size):
+                counts[some, verdict] += 1
+                counts[some] += 1
+    good = {}
+    for key, c in counts.items():
+        if isinstance(key[0], tuple) and c >= 5 and c / counts[key[0]] >= 0.5 and (c / counts[key[0]]) / (share[key[1]] / 120) >= 1:
+            good[key] = c / counts[key[0]]
+    wanted = {k: v for k, v in good.items() if not any(good.get((s, k[1]), -1) >= v for n in range(1, len(k[0])) for s in combinations(k[0], n))}
+    found = {(r.tokens, r.verdict): r.confidence for r in got}
+    assert found.items() <= wanted.items() and len(got) > 5
+    assert all(any(v == found.get((s, k[1])) and counts[s] == counts[k[0]] for n in (1, 2, 3) for s in map(tuple, map(sorted, combinations([*words, "u1", "u2"], n)))) for k, v in wanted.items() if k not in found)
+
+
+def test_long_labelled_urls_dont_explode(spark):
+    """Sixty tokens in common, fifty times over: 2^60 subsets, of which three tokens at most are looked at."""
+    slug = "/".join(f"w{k}" for k in range(60))
+    labelled = [(f"http://long.net/{slug}?id={k % 7}", "block") for k in range(50)] + [(f"http://good.net/{'/'.join(f'w{j}' for j in range(k % 60))}/x", "allow") for k in range(90)]
+    pages = spark.createDataFrame([(1, f"http://long.net/{slug}"), (2, "http://good.net/w1/x"), (3, f"http://else.net/{slug}")], "page_id long, url string")
+    began = time.monotonic()
+    got = {r["page_id"]: (r["verdict"], r["mined"]) for r in filter_urls(pages, spark.createDataFrame(labelled, "url string, verdict string"), []).collect()}
+    assert got[1] == ("block", "h:long") and got[2] == ("allow", "h:good") and got[3][0] == "block"
+    assert time.monotonic() - began < 120

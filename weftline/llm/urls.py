@@ -1,13 +1,15 @@
-"""URL filters: stated host and path rules, and association rules mined by FP-growth and matched by an inverted index."""
+"""URL filters: stated host and path rules, and association rules mined by pattern growth and matched by an inverted index."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,33 +40,75 @@ class UrlRule:
     support: float
 
 
+def _free_tokens(urls: DataFrame, least: int) -> DataFrame:
+    """(set, n) of the frequent tokens, one for all tokens that the same urls have: the smallest."""
+    each = urls.select("id", "verdict", "w", F.explode("tokens").alias("token"))
+    by_verdict = each.groupBy("token", "verdict").agg(F.sum("w").alias("c"), F.count("*").alias("urls"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)])
+    own = by_verdict.groupBy("token").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.sum("urls").alias("urls"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    return own.where(F.col("most") >= least).groupBy("urls", "h1", "h2").agg(F.min("token").alias("token"), F.min("n").alias("n")).select(F.array("token").alias("set"), "n")
+
+
+def _grown(urls: DataFrame, held: DataFrame, items: DataFrame, sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets) with one token more: ``held(id, set)`` are the urls' sets of the last size, ``sets(set, n)`` those kept.
+
+    A set counts only if fewer urls have it than any of its subsets; else its rules say
+    what a subset's say, and so do those of all that it could grow into.
+    """
+    size = held.select(F.size("set")).first()
+    if size is None:
+        return held, sets.limit(0)
+    wider = held.join(items, "id").where(F.col("token") > F.element_at("set", -1)).select("id", F.concat("set", F.array("token")).alias("set"))
+    wider = saved(wider)
+    counts = wider.join(urls.select("id", "verdict", "w"), "id").groupBy("set", "verdict").agg(F.sum("w").alias("c"))
+    counts = counts.groupBy("set").agg(F.sum("c").alias("n"), F.max("c").alias("most")).where(F.col("most") >= least).select("set", "n")
+    places = F.sequence(F.lit(0), F.lit(size[0]))
+    parts = counts.select("set", "n", F.explode(F.transform(places, lambda k: F.filter("set", lambda _, j: j != k))).alias("part"))
+    below = parts.join(sets.toDF("part", "n_part"), "part").where("n < n_part").groupBy("set", "n").agg(F.count("*").alias("parts"))
+    kept = saved(below.where(F.col("parts") == size[0] + 1).select("set", "n"))
+    return wider.join(kept.select("set"), "set", "left_semi").select("id", "set"), kept
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 1.1, max_tokens: int = 3) -> list[UrlRule]:
     """Association rules {tokens} -> verdict from ``labelled(tokens, verdict)``, the best first.
 
-    FP-growth finds the token sets in at least ``min_support`` of all labelled urls, and
-    in ``min_count`` of them; a
-    rule needs ``min_confidence``, ``min_lift`` over its verdict's share, and at most
-    ``max_tokens`` tokens. A rule with a rule on fewer of its tokens, for the same
-    verdict and as sure, adds nothing and is pruned. A url has few tokens, so there are
-    at most a few combinations of them over min_support rules: the driver's share
-    doesn't grow with the table. No labelled url: no rules.
+    Pattern growth finds the token sets that ``min_support`` of all labelled urls have with
+    one verdict, and ``min_count`` of them; a rule needs ``min_confidence``, ``min_lift`` over
+    its verdict's share, and at most ``max_tokens`` tokens. As in FP-growth sets grow by one token
+    at a time, within the urls that have them, but only to ``max_tokens``: a url of n tokens costs
+    no more than its sets of that size, where all its 2^n subsets would be listed. Urls with the
+    same tokens are counted together; tokens that the same urls have count as one, and
+    sets that as many urls have as a subset of theirs aren't grown, as their rules add
+    nothing. A rule with a rule on fewer of its tokens, for the same verdict and as sure,
+    is pruned too. There are at most a few combinations of a url's tokens over
+    min_support rules: the driver's share doesn't grow with the table. No labelled url: no rules.
     """
-    rows = labelled.where("verdict is not null").select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    n = rows.count()
+    rows = labelled.where("verdict is not null").groupBy("tokens", "verdict").agg(F.count("*").alias("w"))
+    urls = saved(rows.withColumn("id", F.monotonically_increasing_id()))
+    share = {r["verdict"]: r["c"] for r in urls.groupBy("verdict").agg(F.sum("w").alias("c")).collect()}
+    n = sum(share.values())
     if not n:
         return []
     # half a url below the count, so that rounding can't lose a set that has it
-    least = min(1.0, max(min_support, (min_count - 0.5) / n))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= max_tokens))
-    found = found.where(~F.exists("antecedent", lambda x: x.startswith("="))).where(F.col("lift") >= min_lift)
-    rules = [UrlRule(tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"], r["support"]) for r in found.collect()]
+    least = math.ceil(min(1.0, max(min_support, (min_count - 0.5) / n)) * n - 1e-9)
+    sets = saved(_free_tokens(urls, least))
+    items = saved(urls.select("id", F.explode("tokens").alias("token")).join(sets.select(F.get("set", F.lit(0)).alias("token")), "token", "left_semi").select("id", "token"))
+    held, levels = items.select("id", F.array("token").alias("set")), []
+    for size in range(1, max_tokens + 1):
+        counts = held.join(urls.select("id", "verdict", "w"), "id").groupBy("set", "verdict").agg(F.sum("w").alias("c")).where(F.col("c") >= least)
+        levels.append(counts.join(sets, "set"))
+        if size < max_tokens:
+            held, sets = _grown(urls, held, items, sets, least)
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.union(more)
+    found = found.where(F.col("c") / F.col("n") >= min_confidence)
+    rules = [UrlRule(tuple(r["set"]), r["verdict"], r["c"] / r["n"], r["c"] / n) for r in found.collect() if (r["c"] / r["n"]) / (share[r["verdict"]] / n) >= min_lift]
     rules.sort(key=lambda r: (-r.confidence, -r.support, len(r.tokens), r.tokens, r.verdict))
     sure = {(r.tokens, r.verdict): r.confidence for r in rules}
 
     def implied(rule: UrlRule) -> bool:
-        n = len(rule.tokens)
-        subsets = (tuple(t for k, t in enumerate(rule.tokens) if bits >> k & 1) for bits in range(1, 2**n - 1))
+        size = len(rule.tokens)
+        subsets = (tuple(t for k, t in enumerate(rule.tokens) if bits >> k & 1) for bits in range(1, 2**size - 1))
         return any(sure.get((s, rule.verdict), -1) >= rule.confidence for s in subsets)
 
     return [r for r in rules if not implied(r)]
