@@ -39,42 +39,68 @@ def exact_nearest_year(queries: DataFrame, titles: DataFrame) -> DataFrame:
     return found.select("query_id", "n_exact", F.when(F.col("n_exact") == 1, F.col("only")).otherwise(unique).alias("match_id"))
 
 
-def _run_fits(short: Column, long: Column) -> Column:
-    """Whether the shorter token list is a run in the longer one that no sequel number follows or precedes, with enough in common."""
-    text = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    at = F.instr(text(long), text(short))
-    offset = F.size(F.filter(F.split(F.substring(text(long), F.lit(1), at), " "), lambda x: x != ""))
-    size = lambda c: F.length(F.array_join(c, ""))
-    digits = lambda c: F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
-    shorter = F.size(short) < F.size(long)
-    sequel = shorter & (offset == 0) & digits(F.get(long, F.size(short)))
-    numbered = shorter & (offset + F.size(short) == F.size(long)) & (offset > 0) & digits(F.get(long, offset - 1))
-    return (at > 0) & (size(short) * 2 >= size(long)) & ~sequel & ~numbered
+def _names(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct token lists of every type, with the smallest and largest id that has them."""
+    own = rows.select(key, "type", tokens(F.col("title")).alias("t")).where(F.size("t") > 0)
+    return own.groupBy("type", "t").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+
+
+def _hashes(words: Column) -> tuple[Column, Column]:
+    return F.xxhash64(words), F.xxhash64(words, F.lit(7))
+
+
+def run_index(names: DataFrame, least: int = 1) -> DataFrame:
+    """(type, h1, h2, *key, first, sequel) of every run of words in names(type, t, ...) that a shorter name may be.
+
+    A run counts if it has at least half of the name's letters and digits. It is known
+    by 128 bits of hash of its words, so that a name is looked up as a whole and a
+    common word is no key. ``sequel`` tells that a number follows a run at the name's
+    start, or stands before one at its end. The whole name is no run of its own with
+    ``least`` 1.
+    """
+    n = F.size("t")
+    width = lambda c: F.length(F.array_join(c, ""))
+    digits = lambda at: F.coalesce(F.get("t", at).rlike("^[0-9]+$"), F.lit(False))
+
+    def run(i: Column, m: Column) -> Column:
+        words = F.slice("t", i, m)
+        h1, h2 = _hashes(words)
+        sequel = ((i == 1) & digits(m)) | ((i > 1) & (i + m == n + 1) & digits(i - F.lit(2)))
+        return F.struct(h1.alias("h1"), h2.alias("h2"), i.alias("first"), sequel.alias("sequel"), (width(words) * 2 >= width(F.col("t"))).alias("long"))
+
+    starts = F.sequence(F.lit(1), n)
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(F.lit(1), n - i + 1), lambda m: m <= n - least), lambda m: run(i, m))))
+    rest = [c for c in names.columns if c not in ("type", "t")]
+    return names.where(n > least).select("type", *rest, F.explode(F.filter(runs, lambda r: r["long"])).alias("r")).select("type", *rest, "r.h1", "r.h2", "r.first", "r.sequel")
 
 
 def subtitle_matches(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, match_id): the only title of the type of which one name is a run of whole words in the other.
 
-    If the shorter name is a run in the longer, all its words are in it, so it is enough
-    to join on the shorter one's rarest word: once with the query as the shorter, once
-    with the title. Names repeated under one type are compared once.
+    Both ways are equality joins: a query is looked up among the runs of the titles, and a title
+    among the runs of the queries. The first place of a run in a name decides whether a
+    number follows. Names repeated under one type are compared once, and a title list's
+    matches are reduced to the smallest and largest id before they meet.
     """
-    t = titles.select("id", "type", tokens(F.col("title")).alias("t")).where(F.size("t") > 0)
-    names = t.groupBy("type", "t").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    q = queries.select("query_id", "type", tokens(F.col("title")).alias("q")).where(F.size("q") > 0)
-    asked = q.select("type", "q").distinct()
-    words = names.select("type", "t", F.explode(F.array_distinct("t")).alias("w"))
-    rarity = words.groupBy("type", "w").agg(F.count("*").alias("df"))
-    rarest = lambda df, own: df.join(rarity, ["type", "w"]).groupBy("type", own).agg(F.min_by("w", F.struct("df", "w")).alias("w"), F.count("*").alias("seen"))
-    q_words = asked.select("type", "q", F.explode(F.array_distinct("q")).alias("w"))
-    # a query with a word that no title has can't be the shorter one
-    as_short = rarest(q_words, "q").where(F.col("seen") == F.size(F.array_distinct("q"))).select("type", "q", "w")
-    first = as_short.join(words, ["type", "w"]).where(F.size("q") <= F.size("t")).where(_run_fits(F.col("q"), F.col("t")))
-    second = rarest(words, "t").join(q_words, ["type", "w"]).where(F.size("t") < F.size("q")).where(_run_fits(F.col("t"), F.col("q")))
-    pairs = first.select("type", "q", "t").union(second.select("type", "q", "t")).distinct().join(names, ["type", "t"])
-    best = pairs.groupBy("type", "q").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    best = best.select("type", "q", F.when(F.col("low") == F.col("high"), F.col("low")).alias("match_id"))
-    return q.join(best, ["type", "q"]).select("query_id", "match_id")
+    t = _names(titles.select("id", "type", "title"), "id")
+    q = queries.select("query_id", "type", tokens(F.col("title")).alias("t")).where(F.size("t") > 0)
+    asked = q.select("type", "t").distinct()
+    h1, h2 = _hashes(F.col("t"))
+    named = lambda rows, *more: rows.select("type", h1.alias("h1"), h2.alias("h2"), *more)
+    key = ["type", "h1", "h2"]
+    whole = named(asked)
+    # runs shorter than their name: the first place of each, and what follows it there
+    first = lambda rows, *who: rows.groupBy(*key, *who).agg(F.min_by("sequel", "first").alias("sequel")).where("NOT sequel")
+    longer = run_index(t.select("type", "t", "low", "high", F.xxhash64("t").alias("name"))).join(whole, key, "left_semi")
+    longer = first(longer, "name", "low", "high").select(*key, "low", "high")
+    equal = named(t, "low", "high").join(whole, key, "left_semi")
+    by_query = longer.union(equal).groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    short = named(t, "low", "high")
+    held = run_index(asked.select("type", "t", h1.alias("own1"), h2.alias("own2"))).join(short.select(*key), key, "left_semi")
+    held = first(held, "own1", "own2").join(short, key).groupBy("type", F.col("own1").alias("h1"), F.col("own2").alias("h2")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    best = by_query.select(*key, "low", "high").union(held.select(*key, "low", "high")).groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    best = best.select(*key, F.when(F.col("low") == F.col("high"), F.col("low")).alias("match_id"))
+    return named(q, "query_id").join(best, key).select("query_id", "match_id")
 
 
 def match_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:

@@ -46,6 +46,16 @@ def services_report(offers: DataFrame, services: DataFrame, region: str, exact:
     return own.join(services, "service_id").select("name", "titles")
 
 
+def title_sketches(offers: DataFrame, keys: list[str], precision: int = 12) -> DataFrame:
+    """(keys, sketch): HyperLogLog sketches of the distinct titles of every key, about 1.6 % off at 12 bits, to be stored and rolled up."""
+    return offers.where("title_id IS NOT NULL").groupBy(*keys).agg(F.hll_sketch_agg("title_id", precision).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, titles): estimated distinct titles over all sketches of a key, without looking at the offers again."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("titles"))
+
+
 def job_health(log: DataFrame, watch: DataFrame, now: Column, verify: str | None = None, pipeline: str | None = None) -> DataFrame:
     """(job, verdict, minutes) of watch(job, cadence) from each job's latest row in log(id, sync_type, status, started_at, completed_at).
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """A join on keys in which null equals null; the right side's keys are then called ``_right_<key>``."""
@@ -76,8 +79,58 @@ def append_run(spark: SparkSession, root: str, **run) -> None:
     spark.createDataFrame([row], LOG_TYPE).coalesce(1).write.mode("append").parquet(root)
 
 
+def run_logged(spark: SparkSession, log: str, sync_type: str, outputs: dict[str, tuple[DataFrame, str]], counters: dict[str, dict[str, Column]], processed: str | None = None, **run) -> dict[str, dict[str, int]]:
+    """Writes the outputs (name: frame and path) and appends the run to the log with what they held, counted while they were written.
+
+    ``counters`` has aggregates by output and name; they are observed on the way to the
+    file, so they cost no pass of their own and count the rows that were written. The
+    row's metadata is their JSON by output; ``processed`` names the output whose ``rows``
+    counter is titles_processed. A failure is logged with its message and raised again.
+    """
+    started, counts = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), {}
+    now = lambda: datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    try:
+        for name, (df, path) in outputs.items():
+            seen = Observation(name)
+            own = {"rows": F.count(F.lit(1)), **counters.get(name, {})}
+            df.observe(seen, *[c.alias(n) for n, c in own.items()]).write.mode("append").parquet(path)
+            counts[name] = dict(seen.get)
+    except Exception as e:
+        append_run(spark, log, sync_type=sync_type, started_at=started, completed_at=now(), status="failed", error_message=str(e)[:1000], metadata=counts, **run)
+        raise
+    done = counts[processed]["rows"] if processed else None
+    append_run(spark, log, sync_type=sync_type, started_at=started, completed_at=now(), status="completed", titles_processed=done, metadata=counts, **run)
+    return counts
+
+
 def availability_document(ids: DataFrame, surfaced: DataFrame, id_col: str) -> DataFrame:
     """One row with one JSON document of two sorted distinct id lists; for larger lists write the frames themselves."""
     one = lambda df, name: df.agg(F.sort_array(F.collect_set(id_col)).alias(name))
     both = one(ids, "ids").withColumn("_k", F.lit(1)).join(one(surfaced, "surfaced").withColumn("_k", F.lit(1)), "_k")
     return both.select(F.to_json(F.struct("ids", "surfaced")).alias("document"))
+
+
+def write_availability(ids: DataFrame, surfaced: DataFrame, id_col: str, path: str, parts: int | None = None) -> None:
+    """The document of ``availability_document`` as text files that give it, byte by byte, when they are joined in the order of their names.
+
+    The distinct ids of both lists are range-partitioned into ``parts``; each task sorts
+    and writes its share. What opens and closes a list stands at its first and last id, which
+    are known as minimum and maximum; ids are separated by what ends a record. The very
+    last record is a file of its own, as nothing but the closing brace follows it.
+    """
+    spark, kind = ids.sparkSession, ids.schema[id_col].dataType
+    values = saved(ids.select(F.lit(0).alias("list"), F.col(id_col).alias("id")).unionByName(surfaced.select(F.lit(1).alias("list"), F.col(id_col).cast(kind).alias("id"))).where("id IS NOT NULL").distinct())
+    ends = {r["list"]: (r["low"], r["high"]) for r in values.groupBy("list").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()}
+    text = F.expr("substring(to_json(array(id)), 2, length(to_json(array(id))) - 2)")
+    opening, record = ('{"ids":[', '"surfaced":['), text
+    for k, (low, high) in ends.items():
+        at = lambda v, k=k: (F.col("list") == k) & (F.col("id") == F.lit(v).cast(kind))
+        record = F.concat(F.when(at(low), opening[k]).otherwise(""), record, F.when(at(high), "]").otherwise(""))
+    rows = values.withColumn("record", record)
+    empty = [(k, f"{opening[k]}]") for k in (0, 1) if k not in ends]
+    heads = spark.createDataFrame(empty, "list int, record string").select("list", F.lit(None).cast(kind).alias("id"), "record")
+    last = F.col("list").eqNullSafe(1) & (F.col("id").eqNullSafe(F.lit(ends[1][1]).cast(kind)) if 1 in ends else F.lit(True))
+    rows = rows.unionByName(heads)
+    body = rows.where(~last).repartitionByRange(*([parts] if parts else []), "list", "id").sortWithinPartitions("list", "id").select("record")
+    body.write.option("lineSep", ",").text(f"{path}/1-body")
+    rows.where(last).select("record").coalesce(1).write.option("lineSep", "}").text(f"{path}/2-end")

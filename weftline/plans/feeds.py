@@ -217,7 +217,7 @@ def volume_fields(spark, d):
     return landed.volume_columns(rows).select("isbn", "google_books_id", "page_count", "year", "cover_url", "preview_available")
 
 
-@query("""SELECT 'OL' || p_partkey || 'W' AS work_key, CASE WHEN p_partkey % 2 = 0 AND p_partkey > 0 THEN 'https://covers.openlibrary.org/b/id/' || p_partkey || '-L.jpg' END AS cover_url, ['97803064' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || '157'] AS isbn13s FROM part""")
+@query(("""SELECT 'OL' || p_partkey || 'W' AS work_key, CASE WHEN p_partkey % 2 = 0 AND p_partkey > 0 THEN 'COVERS' || p_partkey || '-L.jpg' END AS cover_url, ['97803064' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || '157'] AS isbn13s FROM part""").replace("COVERS", landed.COVERS))
 def edition_fields(spark, d):
     isbn = F.concat(F.lit("97803064"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("157"))
     covers = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(-1).cast("long"), F.col("p_partkey"))).otherwise(F.array(F.lit(-1).cast("long")))

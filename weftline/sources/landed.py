@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band_age, basename, blank_to_null, clamp, clamp_epoch, decode_entities, isbn13, leading_age, leading_year, list_age, split_type_id, strip_tags
+from ..operators.graph import saved
 
 _SERVICE = "struct<id:string,name:string,themeColorCode:string,imageSet:struct<lightThemeImage:string,darkThemeImage:string>>"
 _OPTION = f"struct<service:{_SERVICE},type:string,quality:string,link:string,deepLink:string,price:struct<amount:string,currency:string>,expiresOn:bigint>"
@@ -18,6 +19,8 @@ _SHOW = (
 PAGE_TYPE = (
     f"changes array<struct<showId:string,timestamp:bigint,service:{_SERVICE},streamingOptionType:string,link:string>>, shows map<string,{_SHOW}>, nextCursor string, hasMore boolean"
 )
+#: Fixed value: where cover images are served, before their number.
+COVERS = "https://covers.openlibrary.org/b/id/"
 BESTSELLER_TYPE = (
     "status string, num_results int, results struct<list_name:string,list_name_encoded:string,published_date:string,previous_published_date:string,"
     "books:array<struct<rank:int,weeks_on_list:int,primary_isbn13:string,primary_isbn10:string,title:string,author:string,description:string,book_image:string,"
@@ -125,6 +128,31 @@ def discover_urls(locs: DataFrame, url_col: str, pattern: str) -> DataFrame:
     return locs.select(F.col(url_col).alias("url")).where(F.col("url").rlike(pattern)).distinct().orderBy("url")
 
 
+def sitemap_tree(landed: DataFrame, start: list[str], pattern: str, marker: str = "") -> tuple[DataFrame, DataFrame]:
+    """(urls, missing) of the sitemaps that can be reached from ``start``, an index or several, in ``landed(url, body)``.
+
+    An index's entries whose url holds the marker are joined to their landed files, which
+    may be indexes again; it goes on level by level until none is new. ``urls`` are the
+    distinct page urls that match, in byte order; none at all raises. ``missing`` are the
+    entries that weren't landed. Of files landed twice all entries count; bodies that
+    aren't XML have none.
+    """
+    kind = "struct<sitemap:array<struct<loc:string>>,url:array<struct<loc:string>>>"
+    parsed = landed.where("body IS NOT NULL").select("url", F.from_xml("body", kind, {"mode": "PERMISSIVE"}).alias("x"))
+    locs = lambda part: F.filter(F.transform(F.coalesce(f"x.{part}.loc", F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
+    parsed = saved(parsed.select("url", locs("sitemap").alias("below"), locs("url").alias("pages")))
+    seen = level = saved(landed.sparkSession.createDataFrame([(u,) for u in start], "url string").distinct())
+    while True:
+        entries = parsed.join(level, "url", "left_semi").select(F.explode("below").alias("url")).where(F.col("url").contains(marker)).distinct()
+        level = saved(entries.join(seen, "url", "left_anti"))
+        if level.isEmpty():
+            break
+        seen = saved(seen.union(level))
+    found = parsed.join(seen, "url", "left_semi").select(F.explode("pages").alias("loc"))
+    urls = require_some(discover_urls(found, "loc", pattern), "urls in the sitemaps")
+    return urls, seen.join(parsed.select("url"), "url", "left_anti")
+
+
 def require_some(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no {what} found")
@@ -226,7 +254,7 @@ def edition_columns(editions: DataFrame) -> DataFrame:
     cover = F.get(F.filter("e.covers", lambda c: c > 0), F.lit(0))
     return editions.select(
         basename(F.get("e.works", F.lit(0))["key"]).alias("work_key"), F.array_distinct(F.filter(F.transform(isbns, isbn13), lambda x: x.isNotNull())).alias("isbn13s"),
-        F.concat(F.lit("https://covers.openlibrary.org/b/id/"), cover, F.lit("-L.jpg")).alias("cover_url"),
+        F.concat(F.lit(COVERS), cover, F.lit("-L.jpg")).alias("cover_url"),
     )
 
 
