@@ -17,7 +17,7 @@ from .common import saved
 
 #: Texts fall into chunks before a blank or a line's end that follows no white space.
 _CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-_MOST_CACHED = 300_000
+_MOST_CACHED = 200_000
 _META = "▁"
 
 
@@ -51,7 +51,7 @@ def aligned(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int])
 
 
 class _Aligner:
-    """Both tokenizers, and a bounded cache of aligned chunks.
+    """Both tokenizers, and a bounded cache of aligned chunks: those asked for lately.
 
     Neither vocabulary joins text across a chunk's edge: the byte-level one breaks
     before white space, and the other has no piece with a blank or a line's end behind
@@ -74,7 +74,8 @@ class _Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_META, " ").encode() for i, p in enumerate(pieces)]
         self.blank = self.b.piece_to_id(_META)
         self.cut = not any(re.search(rf"[^{_META}]{_META}|[ \n]", p) for p in pieces)
-        self.known: dict[str, Chunk | None] = {}
+        self.recent: dict[str, Chunk | None] = {}
+        self.older: dict[str, Chunk | None] = {}
 
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(" " + text) if self.cut else [" " + text]
@@ -97,23 +98,26 @@ class _Aligner:
 
     def batch(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
         cut = [self.chunks(t) for t in texts]
-        known = self.known
-        new = {c for chunks in cut for c in chunks if c not in known}
-        own = self.learn(list(new)) if new else {}
-        if len(known) + len(own) <= _MOST_CACHED:
-            known.update(own)
-            own = known
-        else:
-            room = _MOST_CACHED - len(known)
-            known.update(list(own.items())[: max(0, room)])
+        recent, older = self.recent, self.older
+        asked = set().union(*cut).difference(recent)
+        new = []
+        for chunk in asked:
+            if chunk in older:
+                recent[chunk] = older[chunk]
+            else:
+                new.append(chunk)
+        if new:
+            recent.update(self.learn(new))
         for chunks in cut:
-            parts = [known[c] if c in known else own[c] for c in chunks]
+            parts = [recent[c] for c in chunks]
             if None in parts:
                 yield 0, 0, 0, "", np.empty(0, dtype="<i8"), np.empty(0, dtype=np.int64)
                 continue
             n_a, n_b, n_groups, groups, pairs = zip(*parts)
             codes, times = np.unique(np.frombuffer(b"".join(pairs), dtype="<i8"), return_counts=True)
             yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), codes, times
+        if len(recent) > _MOST_CACHED // 2:  # what isn't asked for again until this fills up goes
+            self.recent, self.older = {}, recent
 
 
 @lru_cache(maxsize=2)
@@ -136,7 +140,7 @@ class Alignment(NamedTuple):
 
 
 def align_tokenizers(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None, max_broadcast: int = 2_000_000, batch_chars: int = 1 << 22
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None, max_broadcast: int = 2_000_000, batch_chars: int = 1 << 20
 ) -> Alignment:
     """Aligns the tokens of two vocabularies over all documents.
 
