@@ -28,7 +28,9 @@ def train_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], i
     own = own.orderBy(F.xxhash64("id"), "id").limit(max_labels)
     number = F.coalesce(*[F.when(F.col("domain") == d, F.lit(float(k))) for k, d in enumerate(domains)])
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = saved(texts.join(F.broadcast(own), "id").select("text", number.alias("label")))
+    # documents that repeat an id teach once, by the text with the least hash
+    rows = texts.join(F.broadcast(own), "id").groupBy("id").agg(F.min_by(F.struct("text", number.alias("label")), F.struct(F.xxhash64("text"), "text")).alias("r"))
+    rows = saved(rows.select("r.text", "r.label"))
     if rows.select("label").distinct().count() < 2:
         return None
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False)
@@ -49,96 +51,123 @@ def posteriors(docs: DataFrame, model, n_domains: int, text: Column) -> DataFram
     return out.select(*[c for c in docs.columns], F.size("words").cast("long").alias("tokens"), p.alias("p"))
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], most: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the given gradient steps from 1, and the point of the next gradient (accelerated by momentum).
+#: A projected-gradient step: one number per domain, and the momentum of the point it starts from.
+Step = tuple[np.ndarray, float]
+#: Steps after which the rates so far are written down, so that a pass repeats no more than these.
+_REPLAYED = 25
+
+
+def rates(p: np.ndarray, steps: list[Step], most: float | None, rate: np.ndarray | None = None, old: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rate, the one before) after projected-gradient steps from rates of 1, or from the given ones.
 
     A step holds one number per domain, so a document's rate depends on its posteriors
-    alone and can be recomputed anywhere from the short history of steps.
+    alone and can be recomputed anywhere from the history of steps.
     """
-    rate = point = np.ones(len(p))
-    t = 1.0
-    for step in steps:
-        new = np.clip(point - p @ step, 0.0, most)
-        t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        rate, point = new, new + (old - 1) / t * (new - rate)
-    return rate, point
-
-
-def fit(weighted: DataFrame, share: np.ndarray, total: float, most: float | None, shrink: bool, max_steps: int, tolerance: float) -> tuple[np.ndarray, float, bool]:
-    """(step, total, met): the gradient step from rates of 1 that brings the domain totals of ``weighted(tokens, p)`` to share * total.
-
-    Minimises the squared difference of sum(rate * tokens * p) and the targets over rates
-    in [0, most], and among the solutions takes the one nearest to rates of 1 (weighted
-    by tokens). That one is clip(1 - p @ step), so the search is for one number per
-    domain: damped Newton steps on the convex dual, several dampings tried in a pass. It ends when the targets are met within the tolerance or nothing
-    improves. With ``shrink`` a total out of reach is lowered to the bound that the best
-    step proves, until it is in reach.
+    if rate is None or old is None:
+        rate = old = np.ones(len(p))
+    for step, momentum in steps:
+        point = rate + momentum * (rate - old)
+        rate, old = np.clip(point - p @ step, 0.0, most), rate
+    return rate, old
+
+
+def _matrix(column: pd.Series, n: int) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(len(column), n)
+
+
+def fit(weighted: DataFrame, share: np.ndarray, total: float, most: float | None, shrink: bool, max_steps: int, tolerance: float) -> tuple[list[Step], float, bool]:
+    """(steps, total, met): the steps for ``rates`` that bring the domain totals of ``weighted(tokens, p)`` to share * total.
+
+    Minimises the squared difference of the domain totals sum(rate * tokens * p) and the
+    targets over rates in [0, most] by projected gradient. Differences are measured, and
+    rates moved, in the metric of the domains' Gram matrix sum(tokens * p p'), in which steps of
+    length 1 always descend; momentum is dropped whenever it points uphill. A pass over
+    the rows adds up what the driver needs for the next step: a few numbers per domain.
+    It ends when the targets are met within the tolerance, or after ``max_steps``.
+
+    With ``shrink`` a total out of reach is lowered: every step proves a bound, as no
+    rates up to most add up to more in its direction. The total follows the least bound
+    so far and then stays 1.5 % below it, or below that where this isn't met either.
     """
-    n, soft, lowered = len(share), 1e-7, 2 * tolerance
+    n = len(share)
+    base = weighted.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("old"))
 
-    def passes(tries: np.ndarray) -> np.ndarray:
-        """For each try: dual value, domain totals, their slopes, and the most that the rates could add up to in its direction."""
+    def summed(rows: DataFrame, own: list[Step], step: np.ndarray) -> np.ndarray:
+        """Domain totals (n), their Gram matrix (n * n), momentum's slope, and what rates of most reach against the step."""
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros((len(tries), 2 + n + n * n))
+            out = np.zeros(n + n * n + 2)
             for part in parts:
-                if len(part):
-                    p, t = np.array(part["p"].tolist(), dtype=float), part["tokens"].to_numpy(dtype=float)
-                    for k, step in enumerate(tries):
-                        v = p @ step
-                        rate = np.clip(1 - v, 0.0, most)
-                        free = t * ((v <= 1) & (1 - v <= (np.inf if most is None else most)))
-                        out[k, 0] += t @ ((rate - 1) ** 2 / 2 + rate * v)
-                        out[k, 1] += t @ np.maximum(-v, 0) * (most or 0)
-                        out[k, 2 : 2 + n] += (rate * t) @ p
-                        out[k, 2 + n :] += (p.T @ (p * free[:, None])).ravel()
-            yield pd.DataFrame({"k": np.arange(out.size), "x": out.ravel()})
-
-        found = weighted.select("tokens", "p").mapInPandas(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        flat = np.zeros(len(tries) * (2 + n + n * n))
+                p, t = _matrix(part["p"], n), part["tokens"].to_numpy(dtype=float)
+                given = part["rate"].to_numpy(), part["old"].to_numpy()
+                rate, old = rates(p, own[:-1], most, *given)
+                if own:
+                    point = rate + own[-1][1] * (rate - old)
+                    new = rates(p, own[-1:], most, rate, old)[0]
+                    out[-2] += ((point - new) * (new - rate)) @ t
+                    rate = new
+                out[:n] += (rate * t) @ p
+                out[n:-2] += (p.T @ (p * t[:, None])).ravel()
+                out[-1] += t @ np.maximum(-(p @ step), 0)
+            yield pd.DataFrame({"k": np.arange(len(out)), "x": out})
+
+        found = rows.mapInPandas(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(n + n * n + 2)
         for r in found:
-            flat[r["k"]] = r["x"]
-        return flat.reshape(len(tries), -1)
+            out[r["k"]] = r["x"]
+        return out
 
-    step = np.zeros(n)
-    state = passes(step[None])[0]
-    scale = state[2 : 2 + n].sum()
-    for _ in range(max_steps if scale > 0 else 0):
+    def moved(rows: DataFrame, own: list[Step]) -> DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rate, old = rates(_matrix(part["p"], n), own, most, part["rate"].to_numpy(), part["old"].to_numpy())
+                yield part.assign(rate=rate, old=old)
+
+        return saved(rows.mapInPandas(run, rows.schema))
+
+    steps: list[Step] = []
+    state = summed(base, [], np.zeros(n))
+    reached = before = state[:n]
+    gram = state[n:-2].reshape(n, n)
+    scale = np.trace(gram)
+    if scale <= 0:
+        return steps, total, True
+    inverse = np.linalg.inv(gram + 1e-9 * scale / n * np.eye(n))
+    bound, below, momentum, speed, since, written = total, 1.0, 0.0, 1.0, 0, 0
+    met = False
+    for _ in range(max_steps):
         targets = share * total
-        if np.abs(state[2 : 2 + n] - targets).max() <= tolerance * targets.sum():
+        met = bool(np.abs(reached - targets).max() <= tolerance * targets.sum())
+        if met:
             break
-        loss = lambda x, s: (x @ targets - s[..., 0]) / scale + soft / 2 * (x * x).sum(axis=-1)
-        slope = (targets - state[2 : 2 + n]) / scale + soft * step
-        # from Newton's step to a plain gradient step that is short enough to improve always
-        damped = state[2 + n :].reshape(n, n) / scale + soft * np.eye(n) * 10.0 ** np.arange(8)[:, None, None]
-        tries = step - np.linalg.solve(damped, np.broadcast_to(slope[:, None], (8, n, 1)))[:, :, 0]
-        states = passes(tries)
-        losses = loss(tries, states)
-        k = int(np.argmin(losses))
-        old = float(loss(step, state))
-        stuck = not losses[k] < old - 1e-12 * max(1.0, abs(old))
-        if not stuck:
-            step, state = tries[k], states[k]
-        if shrink and most is not None and -(share @ step) > 0:
-            # no rates up to most reach a larger total in this direction
-            bound = state[1] / -(share @ step)
-            if bound < total * (1 - tolerance / 10):
-                total, stuck = bound, False
-        if stuck and shrink and 0 < lowered < 0.1:
-            # the bound is reached in the limit only: a little less than it
-            total, lowered, stuck = total * (1 - lowered), 2 * lowered, False
-        if stuck:
-            break
-    met = scale == 0 or bool(np.abs(state[2 : 2 + n] - share * total).max() <= tolerance * share.sum() * total)
-    return step, total, met
-
-
-def fit_steps(weighted: DataFrame, targets: np.ndarray, most: float | None, max_steps: int = 1000, tolerance: float = 1e-4) -> list[np.ndarray]:
+        step = inverse @ (reached + momentum * (reached - before) - targets)
+        steps.append((step, momentum))
+        if len(steps) - written > _REPLAYED:
+            base, written = moved(base, steps[written:-1]), len(steps) - 1
+        state = summed(base, steps[written:], step)
+        before, reached = reached, state[:n]
+        if state[-2] > 0:
+            momentum, speed = 0.0, 1.0
+        else:
+            faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+            momentum, speed = (speed - 1) / faster, faster
+        since += 1
+        if shrink and most is not None:
+            if share @ step < 0:
+                bound = min(bound, most * state[-1] / -(share @ step))
+            falls = below * bound < total * (1 - tolerance / 10) and since >= 20
+            if falls or since >= (60 if below == 1 else 300):
+                below *= 1.0 if falls else 0.985
+                total, since, momentum, speed = below * bound, 0, 0.0, 1.0
+    return steps, total, met
+
+
+def fit_steps(weighted: DataFrame, targets: np.ndarray, most: float | None, max_steps: int = 1000, tolerance: float = 1e-4) -> list[Step]:
     """The steps for ``rates`` that bring the expected domain totals of ``weighted(tokens, p)`` to the targets; warns if they can't."""
-    step, _, met = fit(weighted, np.asarray(targets, dtype=float), 1.0, most, False, max_steps, tolerance)
+    steps, _, met = fit(weighted, np.asarray(targets, dtype=float), 1.0, most, False, max_steps, tolerance)
     if not met:
         warnings.warn("mixing targets can't be met by any rates; took the nearest", stacklevel=2)
-    return [step]
+    return steps
 
 
 def mix(
@@ -156,7 +185,7 @@ def mix(
     belongs to each domain. Rates in [0, ``most``] make the expected tokens of domain j,
     sum(rate * tokens * p_j), its share of the total: all tokens of the input
     ("natural"), the largest total that needs no rate above 1 ("no repeats"; with
-    ``most`` lowered until it is in reach, by up to a fifth below the bound), or a number. Where
+    ``most`` lowered until it is in reach, to 1.5 % below the proved bound or less), or a number. Where
     no rates meet the targets the nearest are taken, with a warning. ``copies`` rounds a rate to whole copies by a hash of the document.
 
     Null and empty texts have 0 tokens and don't bear on the totals. Rows that repeat
@@ -174,15 +203,17 @@ def mix(
     known = saved(known)
     natural = known.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(str(k)) for k in range(len(domains))]).first()
     natural = np.array([x or 0.0 for x in natural])
+    steps = None
     if total == "natural":
         total = natural.sum()
     elif total == "no repeats":
         total = min((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
         if most is not None and total > 0:
-            _, reached, met = fit(known, share, float(total), most, True, 1000, 1e-4)
+            steps, reached, met = fit(known, share, float(total), most, True, 1000, 1e-4)
             # no total at all may be in reach; then the nearest totals are taken, with a warning
-            total = reached if met and reached > 1e-3 * total else total
-    steps = fit_steps(known, share * total, most)
+            total, steps = (reached, steps) if met and reached > 1e-3 * total else (total, None)
+    if steps is None:
+        steps = fit_steps(known, share * total, most, max_steps=300)
 
     def rated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
