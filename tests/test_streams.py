@@ -37,7 +37,7 @@ def test_changes_apply_once(spark, tmp_path):
     root, state = str(tmp_path / "table"), str(tmp_path / "state")
     KeyedStore.create(spark.createDataFrame([("a", 1), ("z", 9)], "k string, v long"), root, ["k"], buckets=4)
     at = dt.datetime(2024, 1, 1)
-    for rows in ([(1, "a", 5, at), (2, "b", 6, at)], [(2, "b", 6, at), (3, "a", 1, at)]):
+    for rows in ([(1, "a", 5, at), (2, "b", 6, at)], [(2, "b", 6, at)], [(2, "b", 6, at), (3, "a", 1, at)]):
         spark.createDataFrame(rows, "id long, k string, v long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
     def added(table, batch):

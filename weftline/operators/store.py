@@ -206,6 +206,11 @@ class KeyedStore:
         self._commit(with_txn(self.manifest, txn) | {"files": self.manifest["files"] | files})
         return True
 
+    def mark(self, txn: tuple[str, int]) -> None:
+        """Commits that a batch which changes nothing is done."""
+        if not is_done(self.manifest, txn):
+            self._commit(with_txn(self.manifest, txn))
+
     def upsert(self, source: DataFrame, set_cols: list[str], seq: list[str], defaults: dict[str, Column] | None = None, txn: tuple[str, int] | None = None) -> bool:
         """``tables.upsert`` by the table's keys, at the cost of the source's buckets."""
         if is_done(self.manifest, txn):

@@ -37,6 +37,9 @@ def apply_stream(changes: DataFrame, store: KeyedStore, apply: Callable[[DataFra
         batch = batch.persist()
         try:
             touched = batch.select(*store.keys).distinct()
+            if touched.isEmpty():
+                store.mark((checkpoint, number))
+                return
             store.replace(apply(store.matching(touched), batch), touched, (checkpoint, number))
             store.compact()
         finally:
