@@ -61,11 +61,17 @@ def test_long_chains_and_many_levels(spark):
     n = 1500  # newest first, each call needs the one behind it
     calls = [(1, k, f"c{k}", "add", "{}", [f"c{k + 1}"] if k < n - 1 else []) for k in range(n)]
     calls += [(2, k, f"d{k}", "add", "{}", [f"d{k + 1}"]) for k in range(5)] + [(2, 5, "d5", "add", "{}", ["d3"]), (2, 6, "free", "add", "{}", [])]
-    calls += [(3, k, f"e{k}", "add", "{}", [f"e{k + 1}", f"e{k + 2}"] if k < 23 else []) for k in range(25)]
+    calls += [(3, k, f"e{k}", "add", "{}", [f"e{k + 1}", f"e{k + 2}"] if k < 12 else []) for k in range(14)]
+    # a chain of 5,000 in which one call needs a second one, from another chain
+    calls += [(4, k, f"f{k}", "add", "{}", [f"f{k + 1}"] + ["g0"] * (k == 2500) if k < 4999 else []) for k in range(5000)] + [(4, 6000 + k, f"g{k}", "add", "{}", [f"g{k + 1}"] if k < 2999 else []) for k in range(3000)]
+    # a call with two needs, one of which is on a cycle, and what needs it
+    calls += [(5, 0, "h0", "add", "{}", ["h1"]), (5, 1, "h1", "add", "{}", ["h2", "h3"]), (5, 2, "h2", "add", "{}", ["h4"]), (5, 3, "h3", "add", "{}", []), (5, 4, "h4", "add", "{}", ["h2"]), (5, 5, "h5", "add", "{}", ["h3"])]
     got = linked(spark, calls, [])
     assert all(got[1, f"c{k}"]["level"] == n - 1 - k and "cycle" not in got[1, f"c{k}"]["errors"] for k in range(n))
     assert all("cycle" in got[2, f"d{k}"]["errors"] and got[2, f"d{k}"]["level"] == 7 for k in range(6)) and got[2, "free"]["level"] == 0
-    assert [got[3, f"e{k}"]["level"] for k in range(25)] == [*range(23, 0, -1), 0, 0]
+    assert [got[3, f"e{k}"]["level"] for k in range(14)] == [*range(12, 0, -1), 0, 0]
+    assert all(got[4, f"f{k}"]["level"] == (4999 - k if k > 2500 else 3000 + 2500 - k) for k in range(5000)) and got[4, "g0"]["level"] == 2999
+    assert ["cycle" in got[5, f"h{k}"]["errors"] for k in range(6)] == [True, True, True, False, True, False] and got[5, "h5"]["level"] == 1
 
 
 def test_parsing_and_empty_tables(spark):

@@ -61,49 +61,63 @@ def argument_errors(arguments: Column, params: Column) -> Column:
     return F.when(params.isNull(), F.array(F.lit("no such tool"))).when(~object_, F.array(F.lit("arguments are no object"))).otherwise(found)
 
 
-def _chain_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv, call_id, level, cyclic) where no call needs more than one other.
+def _anchored(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv, call_id, up, dist) of the calls that need one other: where the run of such calls ends, and how far off.
 
-    Every round doubles how far a call looks along its chain, so there are as many as the
-    longest conversation has binary digits; who still finds a call then is on a cycle or
-    behind one.
+    Every round doubles how far a call looks along its run, so there are as many as the
+    longest conversation has binary digits; who still finds such a call then is on a
+    cycle or behind one, and keeps it as ``up``.
     """
-    state = saved(calls.join(needs, ["conv", "call_id"], "left").select("conv", "call_id", "n", F.col("need").alias("up"), F.col("need").isNotNull().cast("int").alias("level")))
-    longest = state.agg(F.max("n")).first()[0] or 0
+    alone = needs.groupBy("conv", "call_id").agg(F.count("*").alias("m"), F.min("need").alias("up")).where("m = 1")
+    state = saved(alone.select("conv", "call_id", "up", F.lit(1).cast("long").alias("dist")))
+    longest = calls.agg(F.max("n")).first()[0] or 0
     for _ in range(int(longest).bit_length()):
-        ahead = state.select("conv", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        state = saved(state.join(ahead, ["conv", "up"], "left").select("conv", "call_id", "n", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
-    cyclic = F.col("up").isNotNull()
-    return state.select("conv", "call_id", F.when(cyclic, F.col("n")).otherwise(F.col("level")).cast("int").alias("level"), cyclic.alias("cyclic"))
+        ahead = state.select("conv", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        state = saved(state.join(ahead, ["conv", "up"], "left").select("conv", "call_id", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")))
+    return state
 
 
-def _peeled_levels(left: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv, call_id, level, cyclic) by peeling off the calls whose needs are all placed, one level a round; what is left in the end hangs on a cycle."""
-    done, level = None, 0
-    while True:
-        now = saved(left.join(needs, ["conv", "call_id"], "left_anti"))
+def _placed(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, call_id, level) of the calls in ``ends`` that hang on no cycle: the longest way along ``edges(conv, call_id, need, dist)``.
+
+    A round places the calls whose needs are all placed.
+    """
+    now = saved(ends.join(edges, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).cast("long").alias("level")))
+    done, known, rounds = now, None, 0
+    while not edges.isEmpty():
+        met = edges.join(now.select("conv", F.col("call_id").alias("need"), "level"), ["conv", "need"])
+        met = met.groupBy("conv", "call_id").agg(F.max(F.col("level") + F.col("dist")).alias("level"))
+        known = saved(met if known is None else known.union(met).groupBy("conv", "call_id").agg(F.max("level").alias("level")))
+        edges = saved(edges.join(now.select("conv", F.col("call_id").alias("need")), ["conv", "need"], "left_anti"))
+        now = saved(known.join(edges, ["conv", "call_id"], "left_anti"))
         if now.isEmpty():
             break
-        placed = now.select("conv", "call_id", F.lit(level).alias("level"), F.lit(False).alias("cyclic"))
-        done = placed if done is None else done.union(placed)
-        if level % 20 == 19:  # a plan stays short, whatever the number of rounds
+        known = known.join(edges, ["conv", "call_id"], "left_semi")
+        done, rounds = done.union(now), rounds + 1
+        if rounds % 20 == 0:  # a plan stays short, whatever the number of rounds
             done = saved(done)
-        left = saved(left.join(now, ["conv", "call_id"], "left_anti"))
-        needs = saved(needs.join(now.select("conv", F.col("call_id").alias("need")), ["conv", "need"], "left_anti"))
-        level += 1
-    rest = left.select("conv", "call_id", F.col("n").cast("int").alias("level"), F.lit(True).alias("cyclic"))
-    return rest if done is None else done.union(rest)
+    return done
 
 
 def _levels(calls: DataFrame, links: DataFrame) -> DataFrame:
-    """(conv, call_id, level, cyclic) of the calls in conversations where some call stands before one that it needs."""
+    """(conv, call_id, level, cyclic) of the calls in conversations where some call stands before one that it needs.
+
+    Runs of calls that need one other each are passed by in one step, so rounds are as
+    many as calls with several needs stand behind each other.
+    """
     late = links.where("pos < need_pos").select("conv").distinct()
     sizes = calls.join(late, "conv", "left_semi").groupBy("conv").agg(F.count("*").alias("n"))
     left = saved(calls.select("conv", "call_id").join(sizes, "conv"))
     needs = saved(links.join(late, "conv", "left_semi").select("conv", "call_id", "need"))
-    several = saved(needs.groupBy("conv", "call_id").agg(F.count("*").alias("m")).where("m > 1").select("conv").distinct())
-    chains = _chain_levels(left.join(several, "conv", "left_anti"), needs.join(several, "conv", "left_anti"))
-    return chains.union(_peeled_levels(left.join(several, "conv", "left_semi"), needs.join(several, "conv", "left_semi")))
+    runs = _anchored(left, needs)
+    ends = left.select("conv", "call_id").join(runs, ["conv", "call_id"], "left_anti")
+    via = runs.select("conv", F.col("call_id").alias("need"), F.col("up").alias("end"), F.col("dist").alias("more"))
+    edges = needs.join(ends, ["conv", "call_id"], "left_semi").join(via, ["conv", "need"], "left")
+    edges = edges.groupBy("conv", "call_id", F.coalesce("end", "need").alias("need")).agg(F.max(1 + F.coalesce("more", F.lit(0))).alias("dist"))
+    placed = _placed(saved(ends), saved(edges))
+    behind = runs.join(placed.select("conv", F.col("call_id").alias("up"), "level"), ["conv", "up"]).select("conv", "call_id", (F.col("level") + F.col("dist")).alias("level"))
+    out = left.join(placed.union(behind), ["conv", "call_id"], "left")
+    return out.select("conv", "call_id", F.coalesce("level", "n").cast("int").alias("level"), F.col("level").isNull().alias("cyclic"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
@@ -119,8 +133,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, ma
     its ``after``. Where the messages already stand in such an order all levels are 0;
     otherwise a level is the length of the longest chain of needs, and calls on a cycle or
     behind one come last with the error ``cycle``, at the level of their conversation's
-    number of calls. Chains take rounds in the logarithm of their length; in conversations
-    where a call needs several others, one round for each level. A conversation's rows are
+    number of calls. Runs of calls that need one other each take rounds in the logarithm of their length;
+    calls that need several take one round for each such call behind another. A conversation's rows are
     never gathered: sort the output to read them in order.
 
     Of several calls or results with one id the first by (pos, text) counts, and
