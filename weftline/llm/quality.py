@@ -179,7 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(own), "id").select("id", "label", text_stats(F.col("text")).alias("s"))
     rows = rows.select("id", "label", *[ratio(r, "s").alias(r) for r in RATIOS], base_failed(F.col("s.n_words"), F.col("s.n_repeat_words")).alias("failed"))
-    t = rows.where("not failed").drop("failed").toPandas().sort_values(["id", "label", *RATIOS])
+    # documents that repeat an id teach once, so no more rows than labels come to the driver
+    rows = rows.where("not failed").groupBy("id", "label").agg(F.min(F.struct(*RATIOS)).alias("r")).select("id", "label", "r.*")
+    t = rows.toPandas().sort_values(["id", "label", *RATIOS])
     t = t.iloc[np.argsort(mix(np.arange(len(t), dtype=np.uint64)))]
     return learn_rules({r: t[r].to_numpy() for r in RATIOS}, (t["label"] == 0).to_numpy())
 
