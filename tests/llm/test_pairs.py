@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import weftline.llm.lines as lines_module
 from weftline.llm.lines import _between_groups, _with_the_largest, dedup_lines
 from weftline.llm.minhash import grouped, near_duplicates
 from weftline.llm.shingles import band_keys, shingle_set, sketches, word_hashes
@@ -173,6 +174,28 @@ def test_pairs_between_groups_are_complete(spark):
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
+def test_unlike_lines_of_a_bucket_make_no_rows_of_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    shared = [word() for _ in range(16)]
+    lines = [shared + [word() for _ in range(8)] for _ in range(150)]
+    lines += [x[:-1] + [word()] for x in lines[:20]]
+    texts = [" ".join(x) for x in lines]
+    counts = []
+    verified = lines_module._verified
+    monkeypatch.setattr(lines_module, "_verified", lambda pairs, texts: counts.append(pairs.count()) or verified(pairs, texts))
+    out = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    gone = {r["doc_id"] for r in out.where("lines.n_kept = 0").collect()}
+    assert gone == set(range(150, 170))
+    assert sum(counts) <= 6 * len(texts)
+
+    # in blocks of 16, the pairs within the similarity are those of a brute-force comparison
+    placed = spark.createDataFrame([(key, h, len(texts[h]), h) for key in (1, 2) for h in (*range(40), *range(150, 170))], "key long, h long, size int, own long")
+    by_h = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    got = [(r["a"], r["b"]) for r in _between_groups(placed, 16, lambda ends: by_h.join(ends.distinct(), "h")).collect()]
+    assert sorted(got) == [(k, 150 + k) for k in range(20)]
+
+
 @pytest.mark.parametrize("words", [10, 20, 50])
 def test_fuzzy_lines_recall(spark, words):
     rng = random.Random(words)
