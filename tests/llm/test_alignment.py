@@ -4,12 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm.alignment import align_tokenizers, aligner
+from weftline.llm.alignment import align_tokenizers, aligned, aligner
 from weftline.llm.queries.texts import op13_tokenizer_alignment
 
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -102,3 +103,20 @@ def test_empty_tables(spark):
     assert out.documents.count() == out.texts.count() == out.pairs.count() == 0
     out = align_tokenizers(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
     assert sorted(tuple(r) for r in out.documents.collect()) == [(1, None, *[0] * 6), (2, None, *[0] * 6)]
+
+
+def test_chunks_aligned_together_like_one_by_one():
+    rng = random.Random(3)
+    sizes = np.array([0, 1, 2, 3, 4])
+    cuts = lambda n: (lambda x: x if sum(x) == n else cuts(n))([rng.randint(1, 4) for _ in range(rng.randint(1, n))])
+    chunks = [(cuts(n), cuts(n)) for n in (1, 2, 3, 5, 8, 9, 4, 1)]
+    names = [np.array([[f"{i}{end}" for i in range(5)] for end in ends], dtype=object) for ends in (",|", ",;")]
+    got = list(aligned([a for a, _ in chunks], [b for _, b in chunks], sizes, sizes, *names))
+    for (a, b), chunk in zip(chunks, got, strict=True):
+        ends = [[sum(x[: k + 1]) for k in range(len(x))] for x in (a, b)]
+        shared = [e for e in ends[0] if e in ends[1]]
+        groups = [[[t for t, e in zip(x, end) if low < e <= high] for x, end in zip((a, b), ends)] for low, high in zip([0, *shared], shared)]
+        text = ";".join("|".join(",".join(map(str, x)) for x in g) for g in groups)
+        pairs = np.array([(x[-1], y[-1]) for x, y in groups], dtype="<i4").tobytes()
+        assert chunk == (len(a), len(b), len(groups), text, pairs)
+    assert not list(aligned([], [], sizes, sizes, *names))

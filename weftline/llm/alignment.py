@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,23 +32,29 @@ class Chunk(NamedTuple):
     pairs: bytes
 
 
-def aligned(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> Chunk:
-    """Groups between the byte offsets at which tokens of both sides end."""
-    groups, pairs = [], []
-    i = j = 0
-    at_a = at_b = 0
-    from_a = from_b = 0
-    while i < len(a):
-        at_a += sizes_a[i]
-        i += 1
-        while at_b < at_a and j < len(b):
-            at_b += sizes_b[j]
-            j += 1
-        if at_a == at_b:
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            pairs += (a[i - 1], b[j - 1])
-            from_a, from_b = i, j
-    return Chunk(len(a), len(b), len(groups), ";".join(groups), np.array(pairs, dtype="<i4").tobytes())
+def aligned(ids_a: list[list[int]], ids_b: list[list[int]], sizes_a: np.ndarray, sizes_b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray) -> Iterator[Chunk]:
+    """Chunks of the same bytes on both sides, cut into groups at the byte offsets at which tokens of both end; all chunks stand behind each other in one array.
+
+    Sizes are the bytes of an id; names its number with what follows it inside a group and at its end.
+    """
+    n_a, n_b = ([len(x) for x in ids] for ids in (ids_a, ids_b))
+    a, b = (np.fromiter(chain.from_iterable(ids), dtype=np.int64) for ids in (ids_a, ids_b))
+    ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
+    _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+    # in the text of the groups a group's tokens of one side stand behind those of the other
+    group_a, group_b = (np.searchsorted(last, np.arange(len(x))) for last, x in ((last_a, a), (last_b, b)))
+    parts = np.empty(len(a) + len(b), dtype=object)
+    closes_a, closes_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    closes_a[last_a] = closes_b[last_b] = 1
+    parts[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]] = names_a[closes_a, a]
+    parts[np.arange(len(b)) + (last_a + 1)[group_b]] = names_b[closes_b, b]
+    pairs = a[last_a] | b[last_b] << 32
+    until_a, until_b = np.cumsum(n_a), np.cumsum(n_b)
+    until = np.searchsorted(last_a, until_a - 1) + 1 if len(a) else until_a
+    texts, start, first = parts.tolist(), 0, 0
+    for x, y, end, stop in zip(n_a, n_b, (until_a + until_b).tolist(), until.tolist()):
+        yield Chunk(x, y, stop - first, "".join(texts[start:end])[:-1], pairs[first:stop].tobytes())
+        start, first = end, stop
 
 
 class _Aligner:
@@ -72,6 +79,10 @@ class _Aligner:
         self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_META, " ").encode() for i, p in enumerate(pieces)]
+        sizes = {i: len(x) for i, x in self.a_bytes.items()}
+        self.sizes_a = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
+        self.sizes_b = np.array([len(x) for x in self.b_bytes])
+        self.names_a, self.names_b = (np.array([[f"{i}{end}" for i in range(n)] for end in ends], dtype=object) for n, ends in ((len(self.sizes_a), ",|"), (len(pieces), ",;")))
         self.blank = self.b.piece_to_id(_META)
         self.cut = not any(re.search(rf"[^{_META}]{_META}|[ \n]", p) for p in pieces)
         self.recent: dict[str, Chunk | None] = {}
@@ -82,18 +93,20 @@ class _Aligner:
 
     def learn(self, missing: list[str]) -> dict[str, Chunk | None]:
         """Aligns chunks that aren't known; None where the tokens' bytes aren't the chunk's."""
-        found: dict[str, Chunk | None] = {}
-        ids_a = [e.ids for e in self.a.encode_batch(missing, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(missing, add_special_tokens=False)]
         # the second tokenizer puts a blank in front, which a chunk has already, or which is taken away
         ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in missing], num_threads=1)
-        for chunk, a, b in zip(missing, ids_a, ids_b):
+        for k, chunk in enumerate(missing):
             if chunk == " ":
-                b = [self.blank]
+                ids_b[k] = [self.blank]
             elif chunk[0] != " ":
-                b = b[1:]
-            parts_a, parts_b, raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], chunk.encode("utf-8", "surrogatepass")
-            fits = b"".join(parts_a) == raw == b"".join(parts_b)
-            found[chunk] = aligned(a, b, [len(x) for x in parts_a], [len(x) for x in parts_b]) if fits else None
+                ids_b[k] = ids_b[k][1:]
+        raw = [c.encode("utf-8", "surrogatepass") for c in missing]
+        spelt = [[b"".join(map(table.__getitem__, ids)) for ids in own] for table, own in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))]
+        fits = [x == y == r for x, y, r in zip(*spelt, raw)]
+        found: dict[str, Chunk | None] = dict.fromkeys(missing)
+        at = [k for k, fit in enumerate(fits) if fit]
+        found.update(zip((missing[k] for k in at), aligned([ids_a[k] for k in at], [ids_b[k] for k in at], self.sizes_a, self.sizes_b, self.names_a, self.names_b)))
         return found
 
     def batch(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
