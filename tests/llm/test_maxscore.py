@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm.maxscore import Postings, maxscore, quantised, split, top_products
+from weftline.llm.maxscore import Postings, maxscore, quantised, searched, split, top_products
 
 KIND = "vec_id long, embedding array<double>, score long, row int"
 
@@ -82,3 +83,20 @@ def test_a_long_row_of_components(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(3000)]) for i in range(30)]
     assert found(spark, rows, 5, cells=10_000) == brute(rows, 5)
+
+
+def test_one_frame_for_all_queries_of_a_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = [v.tolist() for v in rng.normal(size=(300, 16))]
+    docs = pd.DataFrame({"row": range(300), "vec": range(300), "named": [k != 7 for k in range(300)], "embedding": x})
+    queries = docs.iloc[:100].assign(free=[k % 2 == 0 for k in range(100)], least=100, least_id=2**63 - 1)
+    made, frame = [], pd.DataFrame
+    monkeypatch.setattr(pd, "DataFrame", lambda *a, **k: made.append(1) or frame(*a, **k))
+    got = searched(5, 64)(docs, queries)
+    assert len(made) == 1
+    whole = np.floor(np.array(x) * 64) @ np.floor(np.array(x) * 64).T
+    for q in range(100):
+        own = got[got["query"] == q]
+        want = sorted((-int(whole[q, d]), d) for d in range(300) if d != q and (q % 2 == 0 or whole[q, d] >= 100))[:5]
+        assert [(-s, d) for s, d in zip(own["score"], own["row"])] == want
+        assert own["query_id"].isna().all() == (q == 7) and (own["vec"].isna() == (own["row"] == 7)).all()

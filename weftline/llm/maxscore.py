@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import chain
 
@@ -20,6 +20,8 @@ _EXACT = 2.0**53
 _WIDEN = 16
 #: Queries that traverse the lists together, and terms that are looked up together.
 _TOGETHER, _PROBED = 64, 8
+#: Where more than this share of a block's documents is still able to compete, lists are traversed and not looked up.
+_MANY = 1 / 16
 
 
 def quantised(values, scale: int) -> np.ndarray:
@@ -122,15 +124,25 @@ def maxscore(postings: Postings, queries: list[np.ndarray], leasts: list) -> lis
     return out
 
 
-def _searched(postings: Postings, splits: list[Split]) -> list[tuple[np.ndarray, np.ndarray]]:
-    essential = np.full((len(splits), postings.width), 0, dtype=postings.matrix.dtype)
-    for i, s in enumerate(splits):
-        terms = s.order[s.minor :]
-        essential[i, terms] = s.query[terms]
-    scores = essential[:, postings.dense] @ postings.matrix
+def _traversed(postings: Postings, splits: list[Split], terms: list[slice]) -> np.ndarray:
+    """What the queries score in these of their terms, for all documents and all queries together."""
+    weights = np.full((len(splits), postings.width), 0, dtype=postings.matrix.dtype)
+    for i, (s, some) in enumerate(zip(splits, terms)):
+        own = s.order[some]
+        weights[i, own] = s.query[own]
+    scores = weights[:, postings.dense] @ postings.matrix
     for t, term in postings.lists.items():
-        for i in np.flatnonzero(essential[:, t]):
-            scores[i, term.docs] += essential[i, t] * term.weights
+        for i in np.flatnonzero(weights[:, t]):
+            scores[i, term.docs] += weights[i, t] * term.weights
+    return scores
+
+
+def _searched(postings: Postings, splits: list[Split]) -> list[tuple[np.ndarray, np.ndarray]]:
+    scores = _traversed(postings, splits, [slice(s.minor, None) for s in splits])
+    many = [i for i, s in enumerate(splits) if s.minor and np.count_nonzero(scores[i] + s.limits[s.minor] >= s.least) > _MANY * postings.n]
+    if many:
+        scores[many] += _traversed(postings, [splits[i] for i in many], [slice(0, splits[i].minor) for i in many])
+        splits = [replace(s, minor=0) if i in set(many) else s for i, s in enumerate(splits)]
     return [_probed(postings, s, score) for s, score in zip(splits, scores)]
 
 
@@ -167,12 +179,12 @@ def searched(k: int, scale: int):
     def run(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows, ids, named = (docs[c].to_numpy() for c in ("row", "vec", "named"))
         postings = Postings([quantised(x, scale) for x in docs["embedding"]])
-        out = []
-        columns = ("row", "vec", "named", "free", "least", "least_id")
+        parts = []
+        columns = ("row", "free", "least", "least_id")
         vectors = [quantised(x, scale) for x in queries["embedding"]]
         leasts = [None if free else int(least) for free, least in zip(queries["free"], queries["least"])]
         met = chain.from_iterable(maxscore(postings, vectors[k : k + _TOGETHER], leasts[k : k + _TOGETHER]) for k in range(0, len(vectors), _TOGETHER))
-        for (found, scores), own, query_id, known, free, least, least_id in zip(met, *(queries[c] for c in columns)):
+        for (found, scores), own, free, least, least_id in zip(met, *(queries[c] for c in columns)):
             scores = _whole(scores)
             # at the threshold itself only smaller ids come in
             fit = rows[found] != own
@@ -183,11 +195,14 @@ def searched(k: int, scale: int):
                 top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                 found, scores = found[top], scores[top]
             best = np.lexsort((rows[found], ids[found], ~scores))[:k]  # ~ turns the order without overflow
-            found = found[best]
-            vec = pd.arrays.IntegerArray(ids[found], ~named[found])
-            part = pd.DataFrame({"query": own, "query_id": query_id, "row": rows[found], "vec": vec, "score": scores[best]})
-            out.append(part.astype({"query_id": "Int64"}) if known else part.assign(query_id=pd.array([None] * len(found), dtype="Int64")))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query", "query_id", "row", "vec", "score"])
+            parts.append((found[best], scores[best]))
+        # one frame for all queries: a frame for each costs more than its search
+        if not parts:
+            return pd.DataFrame(columns=["query", "query_id", "row", "vec", "score"])
+        found, scores = (np.concatenate(x) for x in zip(*parts))
+        query, query_id, known = (np.repeat(queries[c].to_numpy(), [len(x) for x, _ in parts]) for c in ("row", "vec", "named"))
+        whole = pd.arrays.IntegerArray
+        return pd.DataFrame({"query": query, "query_id": whole(query_id, ~known), "row": rows[found], "vec": whole(ids[found], ~named[found]), "score": scores})
 
     return run
 
