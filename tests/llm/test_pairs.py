@@ -196,6 +196,28 @@ def test_unlike_lines_of_a_bucket_make_no_rows_of_pairs(spark, monkeypatch):
     assert sorted(got) == [(k, 150 + k) for k in range(20)]
 
 
+def test_members_of_the_largest_group_make_no_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    base = [word() for _ in range(30)]
+    put = lambda x, *at: [word() if k in at else w for k, w in enumerate(x)]
+    lines = [base] + [put(base, k % 30) for k in range(99)] + [put(base, *range(4, 10))]  # the last one is a member too, not like the first line
+    lines += [put(lines[100], *range(22, 27)), put(base, *range(2, 9))] + [[word() for _ in range(30)] for _ in range(10)]
+    texts = [" ".join(x) for x in lines]
+    own = [0 if h < 101 else h for h in range(len(texts))]
+    want = [(a, b) for a in range(len(texts)) for b in range(101, len(texts)) if a < b and similar(texts[a], texts[b])]
+    assert (100, 101) in want and not similar(texts[0], texts[101])
+    counts = []
+    guests = lines_module._guests
+    monkeypatch.setattr(lines_module, "_guests", lambda *x: counts.append(guests(*x).groupBy("side").count().collect()) or guests(*x))
+    by_h = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    placed = spark.createDataFrame([(1, h, len(t), own[h]) for h, t in enumerate(texts)], "key long, h long, size int, own long")
+    got = [(r["a"], r["b"]) for r in _between_groups(placed, 16, lambda ends: by_h.join(ends.distinct(), "h")).collect()]
+    assert sorted(got) == want
+    # lines unlike all of the group don't meet its blocks, of which there are seven at least
+    assert sum(r["count"] for r in counts[0] if r["side"] == 1) <= 2 * 3 * 7
+
+
 @pytest.mark.parametrize("words", [10, 20, 50])
 def test_fuzzy_lines_recall(spark, words):
     rng = random.Random(words)
