@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.plans import books
 from weftline.sources import landed
 
 
@@ -79,6 +81,22 @@ def test_byline_reviews(spark):
     assert rows(got) == sorted([("ok", "Tom & Jerry", "Ann O'Hara", 8), ("band", "Tom & Jerry", None, None), ("digit", "Tom & Jerry", None, 10), ("bare", "Tom & Jerry", None, None), ("og", "Og", "Bo", 7)], key=str)
 
 
+def test_page_titles_equal_their_sql(spark, tmp_path):
+    heads = ["Rock &amp; roll &amp", "A&amp;amp;&lt;b&gt;&quot;&#39;", "&eacute; &copy &#x27;", "\u00a0 <i>x</i>\u3000", "\t y", "", " <b></b> "]
+    pages = [f"<H1 id=1>{h}</h1><h1>second</h1>" for h in heads] + ['<meta property="og:title" content="Og">', "<h1>open", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    theirs = con.execute(f"SELECT page_id, title FROM ({books.SQL['page_title_extract']})").fetchall()
+    assert rows(books.QUERIES["page_title_extract"](spark, str(tmp_path)), "page_id", "title") == sorted(theirs, key=str)
+
+
+def test_references_end_in_a_semicolon(spark):
+    page = '<h1>A &amp; B &amp &eacute;&copy &#39;&#x27; &amp;lt; &ampx; &nope;</h1>'
+    got = landed.extract_byline_reviews(spark.createDataFrame([("u", page)], "url string, html string"))
+    assert got.first()["title"] == "A & B &amp é&copy \'\' &lt; &ampx; &nope;"
+
+
 def test_books_volumes_editions(spark):
     book = {"rank": 1, "weeks_on_list": 2, "primary_isbn13": "9780306406157", "title": " THE CAT ", "author": "", "description": " ", "book_image": "i", "isbns": [{"isbn13": "9780306406157"}, {"isbn13": "bad"}]}
     page = {"results": {"list_name_encoded": "picture-books", "published_date": "2025-01-15", "books": [book, {"title": " "}]}}

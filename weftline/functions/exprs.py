@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
+import re
 import unicodedata
 
 import pandas as pd
@@ -123,16 +124,27 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
 def decode_entities(c: Column) -> Column:
-    """Character references to characters: the one Python function, on short extracted strings only."""
+    """Character references to characters, those that end in a semicolon: the one Python function, on short extracted strings only."""
+    known = lambda m: html.entities.html5.get(f"{m[1]};", m[0]) if m[1] else html.unescape(m[0])
 
     @F.pandas_udf("string")
     def decode(part: pd.Series) -> pd.Series:
-        return part.map(html.unescape, na_action="ignore")
+        return part.map(lambda text: _REFERENCE.sub(known, text), na_action="ignore")
 
     return decode(c)
 
 
+def unescape(c: Column) -> Column:
+    """The references that escaping makes of markup's own characters, and no others, back to these."""
+    for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
 def host(url: Column) -> Column:
     """The host of an absolute url in lower case; empty without one."""
     return F.lower(F.regexp_extract(url, "^[^:/?#]+://([^/?#]*)", 1))

@@ -198,10 +198,14 @@ def extract_jsonld_reviews(pages: DataFrame, site_suffix: str = r"\s*\|.*$") ->
     return out.where("title IS NOT NULL")
 
 
+def heading(html: Column) -> Column:
+    """The first heading without tags, empty without one; references are still encoded."""
+    return F.regexp_replace(strip_tags(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)), r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def page_title(html: Column) -> Column:
     """The first heading without tags, else og:title; references are still encoded."""
-    heading = blank_to_null(F.trim(strip_tags(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
-    return F.coalesce(heading, _og_title(html))
+    return F.coalesce(blank_to_null(heading(html)), _og_title(html))
 
 
 def extract_byline_reviews(pages: DataFrame, item: str = r"(?is)<li[^>]*class=[\"'][^\"']*post-info[^\"']*[\"'][^>]*>(.*?)</li>") -> DataFrame:
