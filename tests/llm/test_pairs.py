@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -218,6 +219,59 @@ def test_members_of_the_largest_group_make_no_rows(spark, monkeypatch):
     assert sum(r["count"] for r in counts[0] if r["side"] == 1) <= 2 * 3 * 7
 
 
+def edit_distance(s, t):
+    row = np.arange(len(t) + 1)
+    codes, places = np.array([ord(c) for c in t]), np.arange(len(t) + 1)
+    for i, c in enumerate(s):
+        up = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))])
+        row = np.minimum.accumulate(up - places) + places
+    return int(row[-1])
+
+
+def edited(rng, text, share):
+    """The text with letters and whole words changed, taken out and put in, a piece moved away from an end, or runs of a word made longer."""
+    words, kind = text.split(" "), rng.randrange(4)
+    k = max(1, int(len(words) * share))
+    if kind == 0:
+        return "".join(rng.choice(["", c + "é", "q"]) if rng.random() < share else c for c in text)
+    if kind == 1:
+        return " ".join(words[k:] if rng.random() < 0.5 else words[:-k] + words[:k])
+    if kind == 2:
+        return " ".join(w for word in words for w in [word] * (1 if rng.random() > share else rng.choice([0, 2])))
+    return " ".join(w if rng.random() > share else rng.choice(words) for w in words)
+
+
+def test_similar_lines_are_told_exactly(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "é", "a", "ion", "x"]) for _ in range(rng.randint(1, 4)))
+    rows = [("", ""), ("a", ""), ("abcde", "abcd"), ("ab" * 40, "ab" * 50), ("ab" * 39, "ab" * 50)]
+    for _ in range(500):
+        text = " ".join(word() for _ in range(rng.choice([3, 10, 25, 60])))
+        text = " ".join(w for x in text.split() for w in [x] * rng.choice([1, 1, 9])) if rng.random() < 0.2 else text
+        other = edited(rng, text, rng.choice([0.02, 0.1, 0.2, 0.3])) if rng.random() < 0.85 else " ".join(word() for _ in text.split())
+        rows.append((text, other) if rng.random() < 0.5 else (other, text))
+    df = spark.createDataFrame(rows, "s string, t string").withColumn("by_ends", lines_module._similar("s", "t")).withColumn("by_cuts", lines_module._aligned("s", "t"))
+    like, cuts = 0, 0
+    for r in df.collect():
+        want = edit_distance(r["s"], r["t"]) <= max(len(r["s"]), len(r["t"])) // 5
+        assert r["by_ends"] == want and (want or not r["by_cuts"]), r
+        like, cuts = like + want, cuts + r["by_cuts"]
+    assert 150 < like < 450 and cuts > 0.8 * like
+
+
+def test_long_near_copies_cost_no_full_table(spark):
+    rng = random.Random(6)
+    runs = [["".join(rng.choice("abcdefghij") for _ in range(6))] * 1400 for _ in range(8)]
+    letters = "".join(rng.choice("abcdefghij ") for _ in range(60_000))
+    pairs = [(" ".join(w for run in runs for w in run), " ".join(w for run in runs for w in run[100:])), (letters, "".join(c if i % 25 else "k" for i, c in enumerate(letters)))]
+    rows = [x for k, pair in enumerate(pairs) for x in ((2 * k, pair[0]), (2 * k + 1, pair[1]))]
+    texts, ends = spark.createDataFrame(rows, "h long, norm string"), spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    spark.createDataFrame([("a", "b")], "s string, t string").select(lines_module._similar("s", "t")).collect()
+    start = time.time()
+    assert lines_module._verified(ends, texts).count() == 2
+    assert time.time() - start < 12
+
+
 @pytest.mark.parametrize("words", [10, 20, 50])
 def test_fuzzy_lines_recall(spark, words):
     rng = random.Random(words)
