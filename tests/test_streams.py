@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,35 @@ def test_newest_wins_in_any_order_of_arrival(spark, tmp_path):
     assert {(r["k"], r["l"]): tuple(r)[2:] for r in works.newest_wins(state, ["k", "l"], "day", "seq").collect()} == want
 
 
+def test_newest_wins_in_a_keyed_store(spark, tmp_path):
+    rng = random.Random(8)
+    data = [(rng.choice([*"abcdefgh", None]), rng.choice([1, 2, None]), s, rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0]), rng.choice([None, s]), rng.choice([None, f"n{s}"])) for s in range(200)]
+    stored = [(f"old{k}" if k < 2 else "a", k, -1, 2.5, 7, "stored") for k in range(4)]
+    want = sorted(map(tuple, works.newest_wins(spark.createDataFrame([*stored, *data], ROW), ["k", "l"], "day", "seq").collect()), key=str)
+    rng.shuffle(data)
+    store = KeyedStore.create(spark.createDataFrame(stored, ROW), str(tmp_path / "table"), ["k", "l"], buckets=4)
+    for part in (data[:90], data[90:150], [("a", 2, -1, 2.5, 8, "again")] + data[150:]):
+        spark.createDataFrame(part, ROW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(ROW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.newest_wins_table(rows, store, "day", "seq", str(tmp_path / "state")).awaitTermination()
+    held = KeyedStore(spark, str(tmp_path / "table")).read()
+    assert sorted(map(tuple, works.newest_wins(held, ["k", "l"], "day", "seq").collect()), key=str) == want
+    # no more is held than can still win: none is outdated by a later one
+    for key in {r[:2] for r in want}:
+        own = sorted((r for r in held.collect() if (r["k"], r["l"]) == key), key=lambda r: -r["seq"])
+        days = [r["day"] for r in own]
+        assert None not in days[:-1] and (days[:-1] if days[-1] is None else days) == sorted({d for d in days if d is not None})
+
+
+def test_no_row_of_newest_wins_passes_through_python(spark):
+    from weftline.plans import books
+
+    states = lambda: set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("**/state/**/*.zip"))  # noqa: E731 - of stores that rows go to from Python
+    before = states()
+    out = books.QUERIES["stream_newest_wins"](spark, "/root/testdata/sf0.001")
+    assert "Python" not in out._jdf.queryExecution().toString() and states() == before
+
+
 def test_changes_apply_once(spark, tmp_path):
     root, state = str(tmp_path / "table"), str(tmp_path / "state")
     KeyedStore.create(spark.createDataFrame([("a", 1), ("z", 9)], "k string, v long"), root, ["k"], buckets=4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, last_name, names_agree, normalize_author, normalize_title
@@ -114,6 +114,16 @@ def newest_wins(rows: DataFrame, keys: list[str], date: str, seq: str) -> DataFr
     return best.select(*keys, "_row.*").select(*rows.columns)
 
 
+def contenders(rows: DataFrame, keys: list[str], date: str, seq: str, first: str | None = None) -> DataFrame:
+    """The rows of every key that can still win by ``newest_wins``, whatever comes after: the last undated one and those later in date than all that follow them.
+
+    Of rows with the same seq the one with the lowest ``first`` counts as the later.
+    """
+    behind = Window.partitionBy(*keys).orderBy(F.col(seq).desc_nulls_last(), *([first] if first else [])).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({"_late": F.max(date).over(behind), "_reset": F.coalesce(F.bool_or(F.col(date).isNull()).over(behind), F.lit(False))})
+    return out.where(~F.col("_reset") & (F.col(date).isNull() | F.col("_late").isNull() | (F.col(date) > F.col("_late")))).select(*rows.columns)
+
+
 def stamp_unique(candidates: DataFrame, holders: DataFrame, key: str = "work_key", row: str = "work", seq: str = "seq") -> DataFrame:
     """(row, key, accepted): a key goes to the first candidate by seq, and to none if another row holds it."""
     first = candidates.groupBy(key).agg(F.min_by(row, F.struct(seq, row)).alias("_winner"))

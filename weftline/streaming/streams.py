@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators import works
 from ..operators.graph import saved
 from ..operators.store import KeyedStore
 
@@ -106,6 +107,26 @@ def newest_wins_stream(rows: DataFrame, keys: list[str], date: str, seq: str, st
     return rows.groupBy(*keys).transformWithState(_Newest(rows.schema, date, seq), outputStructType=rows.schema, outputMode="Update", timeMode="None", initialState=first)
 
 
+def newest_wins_table(rows: DataFrame, store: KeyedStore, date: str, seq: str, checkpoint: str) -> StreamingQuery:
+    """Keeps in a keyed store the whole rows that could still win by ``works.newest_wins``, of a stream and of what the store held before.
+
+    The outcome is that of ``newest_wins_stream``, without Python in the way of the rows: a batch reads and
+    writes the buckets of its keys. Of rows with the same seq the one that was held counts. A
+    batch that is run again after a failure is skipped if it was committed.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        txn = (checkpoint, number)
+        if store.done(txn):
+            return
+        touched = saved(batch.select(*store.keys).distinct())
+        both = store.matching(touched).withColumn("_come", F.lit(0)).unionByName(batch.withColumn("_come", F.lit(1)))
+        store.replace(works.contenders(both, store.keys, date, seq, "_come"), touched, txn)
+        store.compact()
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: Words of 64 bits in a block of the filter; a url sets one bit in each.
 _WORDS = 8
 
